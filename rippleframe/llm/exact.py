@@ -143,10 +143,10 @@ def exact_groups(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col:
         .filter("n > 1")
     )
     groups = materialize(groups.select("digest", "n", F.col("best.id").alias("keep_id")), "groups")
-    text = digests(docs, id_col, text_col).join(groups.select("digest"), "digest", "left_semi")
-    same = text.groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same"))
-    checked = same.select("digest", F.when(~F.col("same"), F.raise_error(F.lit("two texts share a digest")).cast("boolean")).otherwise(F.col("same")).alias("same"))
-    groups = groups.join(checked.filter("same"), "digest").drop("same")
+    # copies meet in the map-side half of this aggregate, so that no task gets all texts of a large group
+    texts = digests(docs, id_col, text_col).groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    fail = F.raise_error(F.lit("two texts share a digest")).cast("boolean")
+    groups = materialize(texts.join(groups, "digest").filter(F.when(F.col("low") == F.col("high"), F.lit(True)).otherwise(fail)).select("digest", "n", "keep_id"), "checked")
     out = base.join(groups, "digest", "left")
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return out.select("id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "digest")
