@@ -216,6 +216,20 @@ def f29_branch_anisotropy(s, d):
     return _round(features.branch_anisotropy(network(s, d), shell3(s, d)))
 
 
+@query
+def f30_node_orbits_4(s, d):
+    from .operators import motifs
+
+    return motifs.node_orbits(network(s, d), 4)
+
+
+@query
+def f32_f33_edge_orbits_4(s, d):
+    from .operators import motifs
+
+    return _round(motifs.edge_orbit_features(network(s, d), 4))
+
+
 @query
 def d1_edge_probability(s, d):
     return dynamics.edge_probability(network(s, d), "trivalency", seed=5)
