@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,16 +128,29 @@ def decode_block(block: bytes, table: np.ndarray, size: np.ndarray, top: int) ->
     return first, doc_ids, counts, out
 
 
-def token_rows(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:
-    """(doc_id, n_tokens, ids): whole texts encoded, end_id behind; ids as little-endian unsigned 32-bit, null text: empty."""
+def pack_ids(ids: bytes) -> bytes:
+    """Ids as their four byte planes, compressed; for tables and shuffles between the two passes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack_ids(packed: bytes) -> bytes:
+    planes = zstandard.ZstdDecompressor().decompress(packed) if packed else b""
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.tobytes()
+
+
+def token_rows(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, packed: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids): whole texts encoded, end_id behind; ids as little-endian unsigned 32-bit, null text: empty.
+
+    packed: ids as pack_ids() makes them.
+    """
     path = vocabulary or default_vocabulary()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), int(end_id).to_bytes(4, "little")
         for batch in it:
-            for part in slices(batch, "text", 1 << 21):
+            for part in slices(batch, "text", 1 << 22):
                 ids = [x + end for x in enc.encode_many([t or "" for t in part.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([pack_ids(x) for x in ids] if packed else ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -145,7 +159,7 @@ def _tally(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in it:
         for x in batch.column("ids"):
-            c = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+            c = np.bincount(np.frombuffer(unpack_ids(x.as_py()), "<u4"))
             if len(c) > len(total):
                 total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
             total[: len(c)] += c
@@ -154,7 +168,7 @@ def _tally(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_tokens(rows: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
-    """Write token_rows() to Parquet-held files of this format at path, in ascending doc_id order over part numbers.
+    """Write packed token_rows() to Parquet-held files of this format at path, in ascending doc_id order over part numbers.
 
     Each row of the written table is one part: its number and the whole file's bytes. Rows of equal doc_id stay side by
     side in any order. A null doc_id sorts first and is written as the smallest long. No rows: an empty table.
@@ -189,6 +203,7 @@ def write_tokens(rows: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
             for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 lowest = doc if lowest is None else lowest
                 docs.append(doc)
+                x = unpack_ids(x)
                 held.append(x)
                 n += len(x) // 4
                 if n >= BLOCK_IDS:
@@ -241,5 +256,5 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2,
     import uuid
 
     path = path or f"{work_dir(docs.sparkSession)}/rf-tokens-{uuid.uuid4().hex}"
-    write_tokens(token_rows(docs, vocabulary, end_id), path)
+    write_tokens(token_rows(docs, vocabulary, end_id, packed=True), path)
     return read_tokens(docs.sparkSession, path)
