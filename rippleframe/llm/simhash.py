@@ -42,13 +42,16 @@ TRIPLES = _cover()
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
 
-def _fingerprints(texts: pa.Array, k: int, seed: int) -> np.ndarray:
-    w = Words(texts, WS_LOWER)
+#: (words in a shingle, seed) of the fingerprints that near_dedup() looks at.
+VIEWS = ((5, 42), (2, 1), (2, 2), (2, 3))
+
+
+def _fingerprints(w: Words, joined: tuple[bytes, np.ndarray, np.ndarray], k: int, seed: int) -> np.ndarray:
     docs = len(w.first) - 1
     counts = np.diff(w.first)
     if not w.n:
         return np.zeros(docs, np.uint64)
-    text, start, end = w.joined()
+    text, start, end = joined
     head = w.runs(k)
     short = np.flatnonzero((counts > 0) & (counts < k))
     a = np.concatenate([start[head], start[w.first[short]]])
@@ -65,16 +68,18 @@ def _fingerprints(texts: pa.Array, k: int, seed: int) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp): the 64-bit SimHash of each whole text over lower-cased word shingles; null and wordless texts: 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: tuple[tuple[int, int], ...] = ((4, 42),)) -> DataFrame:
+    """(id, fp, fp1, ...): 64-bit SimHashes of each whole text over lower-cased word shingles, one per (words, seed); null and wordless texts: 0."""
+    names = ["fp", *(f"fp{i}" for i in range(1, len(views)))]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in slices(batch, "text", 1 << 20):
-                fp = _fingerprints(part.column("text"), words, seed)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+                w = Words(part.column("text"), WS_LOWER)
+                joined = w.joined()
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(_fingerprints(w, joined, k, seed).view(np.int64)) for k, seed in views)], ["id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join(["id long", *(f"{n} long" for n in names)]))
 
 
 def _forest(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +165,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     but are never the smallest id (component_id is null only where all ids of a component are null). Extra columns
     are ignored; an empty table gives an empty result.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, words, seed), "fp")
+    fps = materialize(fingerprints(docs, id_col, text_col, ((words, seed),)), "fp")
     nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "fpnode")
     roots = components(links(nodes, split))
     own = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
@@ -172,8 +177,22 @@ def fp_hex(col: str = "fp"):
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """docs without the near-copies: of each component the row with the smallest id stays (one row where ids repeat)."""
-    groups = simhash_groups(docs, id_col, text_col, words)
-    keep = groups.filter(F.col("id").isNotNull() & (F.col("id") == F.col("component_id"))).select(F.col("id").alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col] == keep["_keep"], "left_semi")
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: tuple[tuple[int, int], ...] = VIEWS) -> DataFrame:
+    """docs without the near copies: of each group the row with the smallest id stays.
+
+    One fingerprint over five-word shingles finds texts at a similarity of 0.8 or more only when few words differ, as
+    each changed word changes five shingles. So documents also link by fingerprints over two-word shingles under three
+    seeds, again at four bits or fewer. Rows with a null id and rows that repeat a kept id stay.
+    """
+    fps = materialize(fingerprints(docs, id_col, text_col, views), "views")
+    found = None
+    for name in fps.columns[1:]:
+        view = fps.filter("id IS NOT NULL").select("id", F.col(name).alias("fp"))
+        nodes = materialize(view.groupBy("fp").agg(F.min("id").alias("rep"), F.max("id").alias("most")), "fpnode")
+        same = view.join(nodes.filter("rep < most"), "fp").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        left, right = nodes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), nodes.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
+        linked = links(nodes).join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        both = materialize(same.unionAll(linked), "viewlinks")
+        found = both if found is None else found.unionAll(both)
+    dropped = components(found).filter("node <> root").select(F.col("node").alias("_drop"))
+    return docs.join(dropped, docs[id_col] == dropped["_drop"], "left_anti")
