@@ -193,3 +193,42 @@ def moran(net_shell: DataFrame, z: DataFrame, max_lag: int) -> DataFrame:
     j = lagged.join(c.select(F.col("node").alias("src"), "c"), "src")
     total = c.agg((F.sum(F.col("c") * F.col("c")) / F.count("*")).alias("v"))
     return j.groupBy(F.col("d").alias("lag")).agg(F.avg(F.col("c") * F.col("w")).alias("a"), F.count("*").alias("n")).crossJoin(total).select("lag", F.when(F.col("v") > 0, F.col("a") / F.col("v")).alias("moran_i"), "n")
+
+
+def two_number_report(df: DataFrame, y: str, score: str, predicted_zero: str) -> DataFrame:
+    """How well zeros are told apart (confusion counts, accuracy), and apart from that tau-b over the positive rows with its ties."""
+    zero, said = F.col(y) == 0, F.col(predicted_zero)
+    counts = df.agg(F.count("*").alias("n"), F.count_if(zero & said).alias("zero_hit"), F.count_if(zero & ~said).alias("zero_missed"), F.count_if(~zero & said).alias("zero_wrong"), F.avg((zero == said).cast("double")).alias("zero_accuracy"))
+    positive = df.filter(F.col(y) > 0).select(F.lit(0).alias("g"), y, score)
+    tau = kendall(positive, ["g"], y, score, "tau_positive").select("tau_positive")
+    ties = tied_pairs(positive, y).select(F.col("tied_pairs").cast("long").alias("ties_y")).crossJoin(tied_pairs(positive, score).select(F.col("tied_pairs").cast("long").alias("ties_score")))
+    return counts.join(tau, F.lit(True), "left").join(ties, F.lit(True), "left")  # one row each
+
+
+def tie_broken_tau(df: DataFrame, x: str, y: str, reps: int = 5, key: str = "node") -> DataFrame:
+    """(rep, tau): tau of y against x with x's ties broken by a hash jitter far below x's resolution; x holds whole numbers."""
+    from ..functions.rng import uniform
+
+    many = df.select(key, x, y, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    return kendall(many.withColumn("_x", F.col(x) + 0.001 * uniform(key, "rep")), ["rep"], y, "_x")
+
+
+def moran_null(shell: DataFrame, z: DataFrame, lag: int, reps: int) -> DataFrame:
+    """(rep, moran_i): Moran's I at one lag with z dealt anew to the nodes by hashes, once per rep."""
+    from ..functions.rng import uniform
+
+    many = z.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    own = many.select("rep", "node", F.row_number().over(Window.partitionBy("rep").orderBy("node")).alias("i"))
+    dealt = many.select("rep", "z", F.row_number().over(Window.partitionBy("rep").orderBy(uniform("node", "rep"), "node")).alias("i"))
+    mean = z.agg(F.avg("z").alias("m"))
+    c = own.join(dealt, ["rep", "i"]).crossJoin(mean).select("rep", "node", (F.col("z") - F.col("m")).alias("c"))  # mean is one row
+    lagged = shell.filter(F.col("d") == lag).select("src", "node").join(c, "node").groupBy("rep", "src").agg(F.avg("c").alias("w"))
+    total = c.groupBy("rep").agg(F.avg(F.col("c") * F.col("c")).alias("v"))
+    j = lagged.join(c.select("rep", F.col("node").alias("src"), "c"), ["rep", "src"])
+    return j.groupBy("rep").agg(F.avg(F.col("c") * F.col("w")).alias("a")).join(total, "rep").select("rep", (F.col("a") / F.col("v")).alias("moran_i"))
+
+
+def buffer_radius(observed: DataFrame, null: DataFrame, level: float = 0.05) -> DataFrame:
+    """(buffer): the first lag whose Moran's I is within the null's (lag, rep, moran_i) upper tail."""
+    p = observed.select("lag", F.col("moran_i").alias("o")).join(null, "lag").groupBy("lag").agg(((F.count_if(F.col("moran_i") >= F.col("o")) + 1) / (F.count("*") + 1)).alias("p"))
+    return p.agg(F.min(F.when(F.col("p") > level, F.col("lag"))).alias("buffer"))

@@ -163,6 +163,16 @@ def oracle_sql() -> dict[str, str]:
         "k16_adjusted_p": q(f"{NET}, pp AS (SELECT node, {U('node', repr('p'))} AS p FROM ids), rk AS (SELECT node, p, row_number() OVER (ORDER BY p) AS r, (SELECT n FROM nn) AS m FROM pp), hm AS (SELECT sum(1.0::DOUBLE / i) AS h FROM (SELECT unnest(range(1, (SELECT n FROM nn) + 1)) AS i))", "SELECT node, round(p, 6) AS p, round(least(1, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6)::DOUBLE AS q, round(least(1, min(p * m * h / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6)::DOUBLE AS q_by FROM rk, hm"),
         "k17_a20_paired_gain": q(CELLS, "SELECT radius, count(*) AS n, round(avg(g), 6) + 0.0 AS mean, round(stddev_samp(g), 6) AS sd, abs(avg(g)) > 2 * stddev_samp(g) AS starred FROM (SELECT a.radius, a.kendall_tau - b.kendall_tau AS g FROM cells a JOIN cells b USING (radius, seed) WHERE a.richness = 'all' AND b.richness = 'node') GROUP BY radius"),
         "k19_moran": q(f"{SHELL}, cz AS (SELECT node, k - (SELECT avg(k) FROM deg) AS c FROM deg), lg AS (SELECT src, d, avg(c) AS w FROM shell JOIN cz USING (node) WHERE d > 0 GROUP BY src, d)", "SELECT d AS lag, round((SELECT n FROM nn) / count(*)::DOUBLE * sum(c * w) / (SELECT sum(c * c) FROM cz), 6) AS moran_i, count(*) AS n FROM lg JOIN cz ON cz.node = lg.src GROUP BY d"),
+        "k13_two_number_report": q(
+            f"{NET}, {B2}, yp AS (SELECT node, round(b_2, 6)::DOUBLE AS y, k AS p, node NOT IN (SELECT i FROM w2) AS z FROM b2 JOIN deg USING (node)), po AS (SELECT * FROM yp WHERE y > 0)",
+            "SELECT count(*) AS n, sum((y = 0 AND z)::INTEGER)::BIGINT AS zero_hit, sum((y = 0 AND NOT z)::INTEGER)::BIGINT AS zero_missed, sum((y <> 0 AND z)::INTEGER)::BIGINT AS zero_wrong, round(avg(((y = 0) = z)::INTEGER), 6) AS zero_accuracy, (SELECT round(sum(sign(a.y - b.y) * sign(a.p - b.p)) / sqrt(sum(abs(sign(a.y - b.y)))::DOUBLE * sum(abs(sign(a.p - b.p)))), 6) FROM po a JOIN po b ON a.node < b.node) AS tau_positive, (SELECT sum(c * (c - 1) / 2)::BIGINT FROM (SELECT count(*) AS c FROM po GROUP BY y)) AS ties_y, (SELECT sum(c * (c - 1) / 2)::BIGINT FROM (SELECT count(*) AS c FROM po GROUP BY p)) AS ties_score FROM yp",
+        ),
+        "k15_tie_broken_tau": q(f"{NET}, {B2}, yp AS (SELECT node, rep, round(b_2, 6)::DOUBLE AS y, k + 0.001::DOUBLE * {U('node', 'rep')} AS p FROM b2 JOIN deg USING (node), (SELECT unnest(range(0, 2))::INTEGER AS rep))", "SELECT a.rep, round(sum(sign(a.y - b.y) * sign(a.p - b.p)) / sqrt(sum(abs(sign(a.y - b.y)))::DOUBLE * sum(abs(sign(a.p - b.p)))), 6) AS tau FROM yp a JOIN yp b ON a.rep = b.rep AND a.node < b.node GROUP BY a.rep"),
+        "k20_moran_null": q(
+            f"{NET}, mz AS (SELECT node, k, rep FROM deg, (SELECT unnest(range(0, 3))::INTEGER AS rep)), ow AS (SELECT rep, node, row_number() OVER (PARTITION BY rep ORDER BY node) AS i FROM mz), de AS (SELECT rep, k, row_number() OVER (PARTITION BY rep ORDER BY {U('node', 'rep')}, node) AS i FROM mz), cz AS (SELECT rep, node, k - (SELECT avg(k) FROM deg) AS c FROM ow JOIN de USING (rep, i)), lg AS (SELECT rep, u AS src, avg(c) AS w FROM arcs JOIN cz ON cz.node = arcs.v GROUP BY rep, u)",
+            "SELECT rep, round(avg(c * w) / (SELECT avg(x.c * x.c) FROM cz x WHERE x.rep = lg.rep), 6) AS moran_i FROM lg JOIN cz USING (rep) WHERE cz.node = lg.src GROUP BY rep",
+        ),
+        "m10_buffered_plan": q(f"{NET}, fo AS (SELECT node, ((row_number() OVER (ORDER BY {U('node', '0')}, node) - 1) % 5)::INTEGER AS fold FROM ids)", "SELECT f.fold, n.node, arm FROM fo n, (SELECT unnest(range(0, 5))::INTEGER AS fold) f, (SELECT unnest(['buffered', 'control']) AS arm) WHERE n.fold <> f.fold"),
         "m1_r5_fold_digest": q(f"{NET}, fo AS (SELECT node, (row_number() OVER (ORDER BY {U('node', '0')}, node) - 1) % 5 AS fold FROM ids)", "SELECT sha256(string_agg(node || ':' || fold, ',' ORDER BY node)) AS digest FROM fo"),
         "m9_subsample": q(f"{NET}, fo AS (SELECT node, ((row_number() OVER (ORDER BY {U('node', '0')}, node) - 1) % 5)::INTEGER AS fold FROM ids), rk AS (SELECT node, fold, row_number() OVER (PARTITION BY fold ORDER BY {U('node', '0', repr('s'))}, node) AS r, count(*) OVER (PARTITION BY fold) AS n FROM fo)", "SELECT node, fold FROM rk WHERE r <= round(n * 0.25::DOUBLE)"),
         "a0_sweep_cells": q(CELLS, "SELECT radius, richness, seed, round(kendall_tau, 6) AS kendall_tau FROM cells"),

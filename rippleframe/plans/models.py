@@ -144,3 +144,44 @@ def damaged_prediction(models: list, damaged: DataFrame, split: DataFrame, colum
 
     data = VectorAssembler(inputCols=columns, outputCol="features").transform(damaged.join(split, "node"))
     return reduce(DataFrame.unionByName, [m.transform(data.filter(F.col("fold") == f)).select("node", F.col("prediction").alias("pred")) for f, m in enumerate(models)])
+
+
+def bfs_order(near: dict[int, list[int]], seed: int) -> list[int]:
+    """First-in first-out order from a seeded start, on to the next component when one ends."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    left, out = dict.fromkeys(sorted(near)), []
+    while left:
+        start = list(left)[int(rng.integers(len(left)))]
+        queue, at = [start], 0
+        del left[start]
+        while at < len(queue):
+            for y in near[queue[at]]:
+                if y in left:
+                    del left[y]
+                    queue.append(y)
+            at += 1
+        out += queue
+    return out
+
+
+def region_folds(net, k: int, seed: int) -> DataFrame:
+    """(node, fold): k contiguous regions of a breadth-first order, for a network whose size targets.adjacency() checks."""
+    from ..operators.targets import adjacency
+
+    ptr, nbr = adjacency(net)
+    order = bfs_order({i: nbr[ptr[i] : ptr[i + 1]].tolist() for i in range(len(ptr) - 1)}, seed)
+    n = len(order)
+    return net.nodes.sparkSession.createDataFrame([(int(x), min(i * k // n, k - 1)) for i, x in enumerate(order)], "node long, fold int")
+
+
+def buffered_plan(net, split: DataFrame, hops: int, least: int = 30, seed: int = 0) -> DataFrame:
+    """(fold, node, arm): training rows per fold, 'buffered' without nodes near the test region and 'control' with as many hash-drawn rows; folds with fewer than ``least`` rows are left out."""
+    every = split.select("node").crossJoin(split.select("fold").distinct())  # nodes times folds, the plan's own size
+    train = every.join(split, ["fold", "node"], "left_anti")
+    kept = stored(train.join(buffered_exclusion(net.arcs, split, hops), ["fold", "node"], "left_anti"), "buffered")
+    size = kept.groupBy("fold").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    rank = F.row_number().over(Window.partitionBy("fold").orderBy(uniform("node", "fold", F.lit(seed)), "node"))
+    control = train.withColumn("_r", rank).join(size, "fold").filter("_r <= n").select("fold", "node", F.lit("control").alias("arm"))
+    return kept.join(size, "fold").select("fold", "node", F.lit("buffered").alias("arm")).unionByName(control)

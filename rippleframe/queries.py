@@ -495,6 +495,44 @@ def k19_moran(s, d):
     return _round(rankstats.moran(shell3(s, d), network(s, d).degree.select("node", F.col("k").cast("double").alias("z")), 3))
 
 
+@query
+def k13_two_number_report(s, d):
+    net = network(s, d)
+    zero = targets.zero_set(net.arcs, net.nodes).withColumn("z", F.lit(True))
+    j = targets.b2(net).select("node", F.round("b_2", 6).alias("y")).join(net.degree, "node").join(zero, "node", "left").select("y", "k", F.coalesce("z", F.lit(False)).alias("z"))
+    return _round(rankstats.two_number_report(j, "y", "k", "z"))
+
+
+@query
+def k15_tie_broken_tau(s, d):
+    j = targets.b2(network(s, d)).select("node", F.round("b_2", 6).alias("y")).join(network(s, d).degree, "node")
+    return _round(rankstats.tie_broken_tau(j, "k", "y", 2))
+
+
+@query
+def k20_moran_null(s, d):
+    return _round(rankstats.moran_null(shell3(s, d), network(s, d).degree.select("node", F.col("k").cast("double").alias("z")), 1, 3))
+
+
+@query
+def m10_buffered_plan(s, d):
+    from .plans.models import buffered_plan, folds
+
+    return buffered_plan(network(s, d), folds(network(s, d).nodes.select("node"), 5, 0), 0)
+
+
+@query
+def m11_transfer(s, d):
+    """Degree and neighbour degrees fitted on one network's b_2 ranks, applied to a damaged copy's, and the other way."""
+    from .plans.models import transfer
+
+    each = {}
+    for name, net in (("whole", network(s, d)), ("damaged", graph.delete_edges(network(s, d), 0.2, 3))):
+        x = features.degree_features(net).join(features.neighbour_degree_features(net), "node")
+        each[name] = (x, targets.b2(net).select("node", F.col("b_2").alias("y")))
+    return transfer(each, ["degree", "nbr_degree_mean", "nbr_degree_max"], "ridge", 0)
+
+
 @query
 def m1_r5_fold_digest(s, d):
     from .plans.models import folds
