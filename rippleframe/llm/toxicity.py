@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM_LOWER, slices
 
-HEADS = (4, 5, 6)
+HEADS = (4, 5, 6, 7, 8)
 #: Labelled documents a model is fitted on at most (about; chosen by a hash of the id).
 TRAIN_ROWS = 30_000
-MIN_DOCS, MIN_ODDS, MIN_Z, TOP, REST = 3, 3.0, 5.0, 6.0, -0.1
+MIN_DOCS, MIN_ODDS, MIN_Z, TOP, REST = 3, 1.0, 4.0, 6.0, -0.1
 
 
 def _tokens(words) -> set[bytes]:
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     clean, toxic = size
     if not clean or not toxic:
         return Model({})
-    prior = max(10.0, (clean + toxic) / 16)
+    prior = (clean + toxic) / 4  # pseudo-documents
     scores: dict[bytes, float] = {}
     for r in rows:
         if r.token:
@@ -153,26 +153,26 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = text.encode().translate(ALNUM_LOWER).split()
                 segments = model.segments(words)
-                out.append({"toxic": y, "n": len(words), "hits": sum(model.token(w) > 0 for w in words) if segments else 0, "segments": [s for _, _, s in segments]})
+                hits = [x for w in words if w[:4] in model.starts and (x := model.token(w)) > 0] if segments else []
+                out.append({"toxic": y, "n": len(words), "hits": hits, "segments": [s for _, _, s in segments]})
             if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("hits", pa.int64()), ("segments", pa.list_(pa.float64()))]))
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("hits", pa.list_(pa.float64())), ("segments", pa.list_(pa.float64()))]))
 
-    seen = sample.mapInArrow(best, "toxic int, n long, hits long, segments array<double>").collect()  # one small row a document of the bounded sample
+    seen = sample.mapInArrow(best, "toxic int, n long, hits array<double>, segments array<double>").collect()  # one small row a document of the bounded sample
     null = [r for r in seen if not r.toxic]
-    words = sum(r.n for r in null)
-    share = max(sum(r.hits for r in null), 0.5) / max(words, 1)
-    typical = float(np.median(list(scores.values())))
-    low, high = 1e-6, 50.0  # lambda solves share * e^(lambda s) + (1 - share) * e^(lambda rest) = 1
-    for _ in range(200):
+    words = max(sum(r.n for r in null), 1)
+    hits = np.array([x for r in null for x in r.hits] or [float(np.median(list(scores.values())))])
+    low, high = 1e-6, 50.0  # lambda: the mean of e^(lambda score) over the words of clean documents is 1
+    for _ in range(100):
         mid = (low + high) / 2
-        if share * math.exp(min(700, mid * typical)) + (1 - share) * math.exp(mid * REST) > 1:
+        if np.exp(np.minimum(700, mid * hits)).sum() + (words - len(hits)) * math.exp(mid * REST) > words:
             high = mid
         else:
             low = mid
     model.scale = low
-    least = min(scores.values())
-    over = sum(max(r.segments, default=0) >= least for r in null)
-    model.factor = max(over, 0.5) / max(sum(r.n * math.exp(-low * least) for r in null), 1e-12)
+    best_of = np.array([max(r.segments, default=0.0) for r in null])
+    least = float(np.median(best_of[best_of > 0])) if (best_of > 0).any() else min(scores.values())
+    model.factor = max(int((best_of >= least).sum()), 0.5) / max(sum(r.n for r in null) * math.exp(-low * least), 1e-12)
     x = np.array([math.log1p(model.evidence([(0, 0, s) for s in r.segments], r.n)) for r in seen])
     model.bias, model.slope = _fit_logistic(x, np.array([r.toxic for r in seen], float))
     return model

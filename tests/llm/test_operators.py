@@ -336,7 +336,7 @@ def test_warc(spark, least, tmp_path):
 
 
 def plain_maximal(scores):
-    """Maximal segments by their definition: all proper sub-runs score less, and no proper super-run has that property."""
+    """Maximal segments (scores without ties) by their definition: all proper sub-runs score less, and no proper super-run has that property."""
     n = len(scores)
     s = np.concatenate([[0], np.cumsum(scores)])
     good = [(a, b) for a in range(n) for b in range(a + 1, n + 1) if s[b] - s[a] > 1e-9 and all(s[x] > s[a] + 1e-9 for x in range(a + 1, b + 1)) and all(s[x] < s[b] - 1e-9 for x in range(a, b))]
@@ -347,7 +347,7 @@ def test_maximal_segments():
     rng = random.Random(6)
     for _ in range(200):
         n = rng.randint(1, 40)
-        scores = [rng.choice([1.0, 2.3, 0.7]) if rng.random() < 0.3 else -0.35 for _ in range(n)]
+        scores = [rng.choice([1.0137, 2.3071, 0.7193]) if rng.random() < 0.3 else -0.35 for _ in range(n)]
         got = toxicity.maximal_segments([(i, x) for i, x in enumerate(scores) if x > 0], -0.35)
         assert [(a, b) for a, b, _ in got] == plain_maximal(scores)
         assert all(abs(sum(scores[a:b]) - x) < 1e-9 for a, b, x in got)
