@@ -233,3 +233,11 @@ def test_damage_keeps_nodes(net):
     assert hurt.nodes.count() == net.n and hurt.edges.count() < net.m
     row = graph.align_columns(hurt.nodes.select("node", "degree"), ["degree", "gone"]).first()
     assert row.gone == 0.0
+
+
+def test_planted_communities():
+    for mixing in (0.1, 0.4):
+        edges, home = descriptors.planted_communities(600, 8.0, mixing, seed=3)
+        across = np.mean([home[u] != home[v] for u, v in edges])
+        assert abs(across - mixing) < 0.1 and (home >= 0).all()
+        assert len({home[x] for x in range(600)}) > 2
