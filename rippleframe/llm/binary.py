@@ -141,28 +141,37 @@ def unpack_ids(packed: bytes) -> bytes:
 def token_rows(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, packed: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids): whole texts encoded, end_id behind; ids as little-endian unsigned 32-bit, null text: empty.
 
-    packed: ids as pack_ids() makes them.
+    packed: ids as pack_ids() makes them, and one more row a batch (n_tokens -1) with how often the batch has each id.
     """
     path = vocabulary or default_vocabulary()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), int(end_id).to_bytes(4, "little")
         for batch in it:
+            total = np.zeros(0, np.int64)
             for part in slices(batch, "text", 1 << 22):
                 ids = [x + end for x in enc.encode_many([t or "" for t in part.column("text").to_pylist()])]
+                if packed:
+                    total = _added(total, np.bincount(np.frombuffer(b"".join(ids), "<u4")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([pack_ids(x) for x in ids] if packed else ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            if packed and len(total):
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = (a, b) if len(a) > len(b) else (b, a)
+    out = a.astype(np.int64)
+    out[: len(b)] += b
+    return out
+
+
 def _tally(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in it:
-        for x in batch.column("ids"):
-            c = np.bincount(np.frombuffer(unpack_ids(x.as_py()), "<u4"))
-            if len(c) > len(total):
-                total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-            total[: len(c)] += c
+        for x in batch.column("ids").to_pylist():
+            total = _added(total, np.frombuffer(x, "<i8"))
     ids = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total[ids])], ["id", "n"])
 
@@ -175,13 +184,13 @@ def write_tokens(rows: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
     """
     spark = rows.sparkSession
     rows = materialize(rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "n_tokens", "ids"), "ids")
-    tally = rows.mapInArrow(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many as the vocabulary has
+    tally = rows.filter("n_tokens < 0").mapInArrow(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many as the vocabulary has
     counts = np.zeros(max((r.id for r in tally), default=0) + 1, np.int64)
     for r in tally:
         counts[r.id] = r.n
     lengths = code_lengths(counts, max_bits)
     parts = max(1, int(counts.sum() // 2_000_000))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.filter("n_tokens >= 0").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     shared = spark.sparkContext.broadcast(lengths)  # one byte an id of the vocabulary
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
