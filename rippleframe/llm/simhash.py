@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_LOWER, Words, materialize, slices
+from .common import WS_LOWER, Words, gram_hashes, materialize, mix64, slices, word_hashes
 from .components import components
 
 POSITIONS, MAX_BITS, MIN_SHARED = 8, 4, 4
@@ -42,8 +42,13 @@ TRIPLES = _cover()
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
 
-#: (words in a shingle, seed) of the fingerprints that near_dedup() looks at.
-VIEWS = ((5, 42), (2, 1), (2, 2), (2, 3))
+#: near_dedup(): words in a shingle, least Jaccard similarity, and the part fingerprints (BANDS of ROWS least hashes each).
+SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 5
+#: Postings of part fingerprints with more rows meet through pivots first.
+WHOLE = 16
+_DRAW = np.random.default_rng(20250117)
+_TIMES = _DRAW.integers(0, 2**31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = _DRAW.integers(0, 2**32, BANDS * ROWS).astype(np.uint32)
 
 
 def _fingerprints(w: Words, joined: tuple[bytes, np.ndarray, np.ndarray], k: int, seed: int) -> np.ndarray:
@@ -177,22 +182,131 @@ def fp_hex(col: str = "fp"):
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: tuple[tuple[int, int], ...] = VIEWS) -> DataFrame:
-    """docs without the near copies: of each group the row with the smallest id stays.
+def shingle_sets(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of k words of each text, ascending, and where each text's begin (and the last's end). Fewer words: one shingle."""
+    docs = len(w.first) - 1
+    if not w.n:
+        return np.zeros(0, np.uint64), np.zeros(docs + 1, np.int64)
+    words, doc = word_hashes(w), w.doc()
+    head = w.runs(k)
+    counts = np.diff(w.first)
+    short = np.flatnonzero((counts > 0) & (counts < k))
+    few = [gram_hashes(words[w.first[d] : w.first[d + 1]], int(counts[d]))[:1] + np.uint64(counts[d]) for d in short.tolist()]
+    h = np.concatenate([gram_hashes(words, k)[head], *few])
+    of = np.concatenate([doc[head], short])
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
+    h, of = h[new], of[new]
+    return h, np.searchsorted(of, np.arange(docs + 1))
+
+
+def _parts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """BANDS part fingerprints per text: each the hash of the ROWS shingles that come first in ROWS fixed random orders."""
+    docs = len(first) - 1
+    full = np.flatnonzero(np.diff(first) > 0)
+    out = np.zeros((docs, BANDS), np.uint64)
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    for b in range(BANDS):
+        key = np.full(len(full), b + 1, np.uint64)
+        for r in range(b * ROWS, (b + 1) * ROWS):
+            least = np.minimum.reduceat(low * _TIMES[r] + _PLUS[r], first[full]) if len(full) else np.zeros(0, np.uint32)
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least)
+        out[full, b] = key
+    return out
+
+
+def _views(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for part in slices(batch, "text", 1 << 20):
+            w = Words(part.column("text"), WS_LOWER)
+            fp = _fingerprints(w, w.joined() if w.n else None, SHINGLE, 42)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(_parts(*shingle_sets(w)).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("id"), pa.array(fp.view(np.int64)), keys], ["node", "id", "fp", "keys"])
+
+
+def _packed_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for part in slices(batch, "text", 1 << 20):
+            h, first = shingle_sets(Words(part.column("text"), WS_LOWER))
+            packed = [h[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(packed, pa.binary())], ["node", "shingles"])
+
 
-    One fingerprint over five-word shingles finds texts at a similarity of 0.8 or more only when few words differ, as
-    each changed word changes five shingles. So documents also link by fingerprints over two-word shingles under three
-    seeds, again at four bits or fewer. Rows with a null id and rows that repeat a kept id stay.
+def _similar(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their packed sets those at a Jaccard similarity of SIMILAR or more; two empty sets are equal."""
+    for batch in it:
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+            x, y = x.as_buffer(), y.as_buffer()
+            n, m = x.size // 8, y.size // 8
+            if min(n, m) < SIMILAR * max(n, m) - 1e-9:
+                continue
+            both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            keep[i] = shared >= SIMILAR * (n + m - shared) - 1e-9
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "similar")
+
+
+def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(node, id) per row, node a hash of id and text, and (a, b) links of nodes whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Candidates are SimHash links of the whole text and equal fingerprints of text parts: each of 24 parts holds the five
+    shingles that come first in five random orders, so a pair at 0.8 shares one with probability 0.9999. Each candidate
+    is verified on the exact sets of shingles. Members of a large posting meet three pivots first; those that are then
+    in different components all meet each other.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("id", "text").alias("node"), "id", "text")
+    views = materialize(rows.mapInArrow(_views, "node long, id long, fp long, keys array<long>"), "views")
+    nodes = materialize(views.groupBy("fp").agg(F.min("node").alias("rep"), F.max("node").alias("most")), "fpnode")
+    same = views.select("node", "fp").join(nodes.filter("rep < most"), "fp")
+    left, right = nodes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), nodes.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
+    linked = links(nodes).join(left, "a").join(right, "b")
+    found = _pairs(same, "node", "rep").unionAll(_pairs(linked, "ra", "rb"))
+    index = views.select("node", F.explode("keys").alias("key"))
+    sizes = materialize(index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "posting")
+    members = materialize(index.join(sizes, "key"), "members")
+    lists = members.filter(F.col("n") <= WHOLE).groupBy("key").agg(F.collect_set("node").alias("s"))
+    found = found.unionAll(lists.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).filter("a < b"))
+    large = members.filter(F.col("n") > WHOLE)
+    pivots = large.groupBy("key").agg(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(3))).alias("p"))
+    found = found.unionAll(_pairs(large.join(pivots, "key").select("node", F.explode("p").alias("p")), "node", "p"))
+    found = materialize(found.distinct(), "pairs")
+    wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = rows.join(wanted.hint("merge"), "node", "left_semi").select("node", "text")
+    sets = materialize(texts.mapInArrow(_packed_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    ok = _verified(found, sets)
+    if sizes.filter(F.col("n") > WHOLE).limit(1).count():
+        roots = components(ok).withColumnRenamed("node", "_node")
+        own = large.join(roots, large.node == roots._node, "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+        own = materialize(own.join(mixed, "key").distinct(), "mixed")
+        other = own.select("key", F.col("node").alias("other"), F.col("root").alias("_root"))
+        apart = _pairs(own.join(other, "key").filter("root < _root"), "node", "other").join(found, ["a", "b"], "left_anti")
+        ok = ok.unionAll(_verified(apart, sets))
+    return views.select("node", "id"), ok
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the near copies: of each group of near_links() the row with the smallest id stays.
+
+    A null id counts as larger than all others. Rows with the same id and text stay or go together. Two texts without
+    words are equal.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, views), "views")
-    found = None
-    for name in fps.columns[1:]:
-        view = fps.filter("id IS NOT NULL").select("id", F.col(name).alias("fp"))
-        nodes = materialize(view.groupBy("fp").agg(F.min("id").alias("rep"), F.max("id").alias("most")), "fpnode")
-        same = view.join(nodes.filter("rep < most"), "fp").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        left, right = nodes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), nodes.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-        linked = links(nodes).join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        both = materialize(same.unionAll(linked), "viewlinks")
-        found = both if found is None else found.unionAll(both)
-    dropped = components(found).filter("node <> root").select(F.col("node").alias("_drop"))
-    return docs.join(dropped, docs[id_col] == dropped["_drop"], "left_anti")
+    rows, ok = near_links(docs, id_col, text_col)
+    roots = components(ok)
+    own = rows.distinct().join(roots, "node").select("root", "node", F.struct(F.col("id").isNull().alias("none"), "id", "node").alias("rank"))
+    best = own.groupBy("root").agg(F.min("rank").alias("best"))
+    dropped = own.join(best, "root").filter(F.col("node") != F.col("best.node")).select(F.col("node").alias("_drop"))
+    node = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(dropped, node == dropped["_drop"], "left_anti")

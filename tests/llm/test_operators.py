@@ -442,3 +442,56 @@ def test_network_gradient_and_learning():
     assert before < -5 and after > -0.5
     z = np.exp(np.stack([net.log_probs(context[:5], np.full(5, c)) for c in range(lm.CLASSES)], axis=1)).sum(axis=1)
     assert np.allclose(z, 1, atol=1e-4)
+
+
+def plain_shingles(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
+
+
+def test_near_links_at_similarity(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    rows, want = [], {}
+    for i in range(240):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        for copy in range(2):
+            w, n = list(base), len(base)
+            if copy:
+                share = rng.uniform(0.0, 0.35)
+                if i % 2:  # one replaced block
+                    m = int(share * n)
+                    at = rng.randrange(n - m)
+                    w[at : at + m] = [word() for _ in range(m)]
+                else:  # scattered words
+                    for at in rng.sample(range(n), int(share * n / 6)):
+                        w[at] = word()
+            rows.append((2 * i + copy, " ".join(w)))
+        x, y = (plain_shingles(t) for _, t in rows[-2:])
+        want[i] = len(x & y) / len(x | y)
+    crowd = [word() for _ in range(150)]  # a large posting: copies at about 0.9 of one text, at about 0.8 of each other
+    for i in range(60):
+        w = list(crowd)
+        for at in rng.sample(range(150), 3):
+            w[at] = word()
+        rows.append((1000 + i, " ".join(w)))
+    assert sum(0.8 <= j < 0.95 for j in want.values()) > 40 and sum(0.5 <= j < 0.8 for j in want.values()) > 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.near_dedup(docs).collect()}
+    for i, j in want.items():
+        assert 2 * i in kept
+        assert (2 * i + 1 in kept) == (j < 0.8), (i, j)
+    sets = {d: plain_shingles(t) for d, t in rows if d >= 1000}
+    root = {d: d for d in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {d for d in kept if d >= 1000} == set(root.values())
+
+
+def test_near_dedup_by_row(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (None, b + " more"), (None, "quite another text of more than five words")]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {rows[0], rows[1], rows[4]}
