@@ -1,12 +1,13 @@
 """Document scores by masked pseudo-likelihood of a bidirectional window network.
 
 Words fall into classes: the most frequent words of the corpus one each, all others by a hash. A small network sees the
-classes of the two words on either side and predicts the class in between; a word in a shared class is then one of as
-many words as the corpus has in that class. The sum of these conditional log-probabilities scores a document.
+classes of the two words on either side and predicts the class in between; a word in a shared class then has its share
+of the class's occurrences in the corpus. The sum of these conditional log-probabilities scores a document.
 
-Class tables come from counts over all documents. The network is trained in rounds: each task starts from the shared
-weights, takes gradient steps over a fixed share of the places of all its documents, and the tasks' weights are averaged
-block by block, weighted by their places, without passing through the driver before they are one set.
+Class tables come from counts over all documents; the counts of all words stay a partitioned table, which the words of
+the documents are joined with. The network is trained in rounds: each task starts from the shared weights, takes gradient
+steps over a fixed share of the places of all its documents, and the tasks' weights are averaged block by block, weighted
+by their places, without passing through the driver before they are one set.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WS_LOWER, Words, materialize, slices, word_hashes
@@ -68,40 +69,44 @@ class Network:
         z = h @ self.out
         z += self.out_bias
         own = z[np.arange(len(target)), target]
-        top = z.max(axis=1)
-        z -= top[:, None]
+        top = self._top(z)
         np.exp(z, out=z)
         return own - top - np.log(z.sum(axis=1))
 
+    def _top(self, z: np.ndarray) -> np.ndarray | float:
+        """Takes each row's maximum off z where the weights do not bound z well inside float32's exponents."""
+        if float(np.abs(self.out).sum(axis=0).max() + np.abs(self.out_bias).max()) < 60:
+            return 0.0
+        top = z.max(axis=1)
+        z -= top[:, None]
+        return top
+
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         n = len(target)
         x = self.embed[context].reshape(n, -1)
         h = np.tanh(x @ self.hidden + self.hidden_bias)
-        z = h @ self.out + self.out_bias
-        z -= z.max(axis=1)[:, None]
+        z = h @ self.out
+        z += self.out_bias
+        self._top(z)
         np.exp(z, out=z)
-        z /= z.sum(axis=1)[:, None]
-        z[np.arange(n), target] -= 1
-        z /= n
+        z *= (1 / (n * z.sum(axis=1)))[:, None]
+        z[np.arange(n), target] -= np.float32(1 / n)
         dh = (z @ self.out.T) * (1 - h * h)
         dx = (dh @ self.hidden.T).reshape(n, 2 * SIDE, WIDTH)
         self.out -= rate * (h.T @ z)
         self.out_bias -= rate * z.sum(axis=0)
         self.hidden -= rate * (x.T @ dh)
         self.hidden_bias -= rate * dh.sum(axis=0)
-        pick = np.zeros((n, CLASSES), np.float32)
-        for j in range(2 * SIDE):
-            pick[:] = 0
-            pick[np.arange(n), context[:, j]] = 1
-            self.embed -= rate * (pick.T @ dx[:, j])
+        cell = (context[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
+        self.embed -= rate * np.bincount(cell, dx.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH).astype(np.float32)
 
 
 @dataclass
 class Vocabulary:
-    """Hashes of the frequent words, and for each class the natural log of the words in it."""
+    """Hashes of the frequent words, the occurrences of each class and their smoothed shares."""
 
     frequent: np.ndarray
-    log_size: np.ndarray
+    total: np.ndarray
     prior: np.ndarray
     order: np.ndarray = field(init=False)
 
@@ -118,8 +123,8 @@ class Vocabulary:
         return out
 
 
-def build_vocabulary(rows: DataFrame) -> Vocabulary:
-    """From counts of every word of rows (id, text)."""
+def build_vocabulary(rows: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """From counts of every word of rows (id, text); also the table (h, n) of these counts."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -146,17 +151,15 @@ def build_vocabulary(rows: DataFrame) -> Vocabulary:
     words = materialize(rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     top = words.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
     frequent = np.array([r.h for r in top], np.int64).view(np.uint64)
-    rest = words.groupBy(F.pmod(F.shiftrightunsigned("h", 33), F.lit(HASHED)).alias("c")).agg(F.count("*").alias("types"), F.sum("n").alias("n")).collect()
-    types, total = np.zeros(CLASSES), np.zeros(CLASSES)
+    rest = words.groupBy(F.pmod(F.shiftrightunsigned("h", 33), F.lit(HASHED)).alias("c")).agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(CLASSES)
     for r in rest:
-        types[FREQUENT + r.c], total[FREQUENT + r.c] = r.types, r.n
+        total[FREQUENT + r.c] = r.n
     for i, r in enumerate(top):
-        c = FREQUENT + (r.h % 2**64 >> 33) % HASHED
-        types[c] -= 1
-        total[c] -= r.n
-        types[i], total[i] = 1, r.n
+        total[FREQUENT + (r.h % 2**64 >> 33) % HASHED] -= r.n
+        total[i] = r.n
     prior = (total + 0.5) / (total + 0.5).sum()
-    return Vocabulary(frequent, np.log(np.maximum(types, 1)), prior)
+    return Vocabulary(frequent, total, prior), words
 
 
 def _places(w: Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -202,6 +205,32 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, share:
     return Network.of(flat)
 
 
+def _rare(rows: DataFrame, words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(row, rare): of each row's words in shared classes the summed log of their share of the class's occurrences.
+
+    Rows of equal id and text share a value of row, over which the sum is divided by their number.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)  # fixed size
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for part in slices(batch, "text"):
+                w = Words(part.column("text"), WS_LOWER)
+                h, doc = word_hashes(w), w.doc()
+                at = shared.value.classes(h) >= FREQUENT
+                h, doc = h[at], doc[at]
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
+                k = np.diff(np.append(first, len(h)))
+                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(doc[first])), pa.array(h[first].view(np.int64)), pa.array(k.astype(np.int32))], ["row", "h", "k"])
+
+    total = F.array(*(F.lit(float(x)) for x in np.log(np.maximum(vocabulary.total[FREQUENT:EDGE], 1))))
+    share = words.select("h", (F.log("n") - F.element_at(total, (F.pmod(F.shiftrightunsigned("h", 33), F.lit(HASHED)) + 1).cast("int"))).cast("float").alias("share"))
+    uses = rows.mapInArrow(run, "row long, h long, k int")
+    return uses.join(share.hint("merge"), "h").groupBy("row").agg(F.sum(F.col("k") * F.col("share").cast("double")).alias("rare"))
+
+
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_likelihood, mean_log_likelihood) per row of docs.
 
@@ -209,9 +238,10 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Repeated rows each get a row; extra columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    vocabulary = build_vocabulary(rows)
+    vocabulary, words = build_vocabulary(rows)
     net = train(rows, vocabulary)
     shared = rows.sparkSession.sparkContext.broadcast((net.flat(), vocabulary))  # fixed size
+    rows = rows.withColumn("row", F.xxhash64("id", "text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, vocabulary = shared.value
@@ -221,10 +251,14 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for part in slices(batch, "text"):
                 w = Words(part.column("text"), WS_LOWER)
                 own, context = _places(w, vocabulary)
-                lp = np.concatenate([net.log_probs(context[a : a + 4096], own[a : a + 4096], table) for a in range(0, len(own), 4096)]) if len(own) else np.zeros(0)
-                total = np.concatenate([[0.0], np.cumsum(lp.astype(np.float64) - vocabulary.log_size[own])])
+                lp = np.concatenate([net.log_probs(context[a : a + 1024], own[a : a + 1024], table) for a in range(0, len(own), 1024)]) if len(own) else np.zeros(0)
+                total = np.concatenate([[0.0], np.cumsum(lp.astype(np.float64))])
                 n = np.diff(w.first)
-                s = total[w.first[1:]] - total[w.first[:-1]]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n.astype(np.int64)), pa.array(s), pa.array(np.divide(s, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)], ["id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    return rows.mapInArrow(run, "id long, n_words long, log_likelihood double, mean_log_likelihood double")
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(n.astype(np.int64)), pa.array(total[w.first[1:]] - total[w.first[:-1]])], ["row", "id", "n_words", "score"])
+
+    scored = rows.mapInArrow(run, "row long, id long, n_words long, score double")
+    rare = _rare(rows, words, vocabulary).withColumnRenamed("row", "_row")
+    times = F.count("*").over(Window.partitionBy("row"))
+    both = scored.withColumn("times", times).join(rare, F.col("row") == F.col("_row"), "left")
+    log = F.col("score") + F.coalesce(F.col("rare") / F.col("times"), F.lit(0.0))
+    return both.select("id", "n_words", log.alias("log_likelihood")).withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

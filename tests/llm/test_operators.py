@@ -7,11 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import types as T
 
 from rippleframe.llm import attribution, binary, exact, lm, packing, simhash, substring, tokens, toxicity, warc, winnow
+from rippleframe.llm.common import WS_LOWER, Words, word_hashes
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("id", T.StringType()), T.StructField("fp", T.IntegerType()), T.StructField("row", T.IntegerType())])
 
@@ -495,3 +497,14 @@ def test_near_dedup_by_row(spark):
     rows = [(1, a), (1, b), (2, a + " more"), (None, b + " more"), (None, "quite another text of more than five words")]
     kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.text) for r in kept} == {rows[0], rows[1], rows[4]}
+
+
+def test_words_of_a_class_score_by_their_counts(spark):
+    of = lambda word: int(word_hashes(Words(pa.array([word]), WS_LOWER))[0] >> np.uint64(33)) % lm.HASHED
+    often = "often"
+    seldom = next(w for w in (f"seldom{i}" for i in range(10_000)) if of(w) == of(often))
+    common = " ".join(f"top{i}" for i in range(lm.FREQUENT)) + " "
+    rows = [(9, common * 20), (1, often), (2, seldom), (2, seldom), (3, (often + " ") * 7), (None, often)]
+    got = {r.id: r for r in lm.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.isclose(got[1].log_likelihood - got[2].log_likelihood, np.log(9 / 2), atol=1e-4)
+    assert np.isclose(got[None].log_likelihood, got[1].log_likelihood)
