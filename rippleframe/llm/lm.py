@@ -6,8 +6,9 @@ of the class's occurrences in the corpus. The sum of these conditional log-proba
 
 Class tables come from counts over all documents; the counts of all words stay a partitioned table, which the words of
 the documents are joined with. The network is trained in rounds: each task starts from the shared weights, takes gradient
-steps over a fixed share of the places of all its documents, and the tasks' weights are averaged block by block, weighted
-by their places, without passing through the driver before they are one set.
+steps over every ROUNDS-th place of all its documents, other places each round, so that every place is a target once;
+the tasks' weights are averaged block by block, weighted by their places, without passing through the driver before they
+are one set.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ FREQUENT, HASHED, SIDE, WIDTH, HIDDEN = 191, 64, 2, 12, 24
 #: The last class stands beyond the ends of a text.
 EDGE = FREQUENT + HASHED
 CLASSES = EDGE + 1
-SHARE, ROUNDS, BATCH, RATE = 8, 2, 2048, 0.5
+ROUNDS, BATCH, RATE = 2, 2048, 0.5
 _BLOCK = 1024
 
 
@@ -175,8 +176,15 @@ def _places(w: Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return own, context
 
 
-def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, share: int = SHARE) -> Network:
-    """Each round every share-th place of all documents takes part, another one each round."""
+def targets(n: int, r: int, rounds: int = ROUNDS) -> Iterator[slice]:
+    """The places of a run of n words that round r trains on, in batches; over all rounds every place once."""
+    for a in range(0, n, BATCH * rounds):
+        if a + r < n:
+            yield slice(a + r, a + BATCH * rounds, rounds)
+
+
+def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
+    """Each round every rounds-th place of all documents is a target, others each round."""
     flat = Network.start(vocabulary.prior).flat()
     for r in range(rounds):
         shared = rows.sparkSession.sparkContext.broadcast((flat, vocabulary))  # fixed size
@@ -188,11 +196,9 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, share:
                 for part in slices(batch, "text"):
                     w = Words(part.column("text"), WS_LOWER)
                     own, context = _places(w, vocabulary)
-                    for a in range(0, len(own), BATCH * share):
-                        c, t = context[a + r : a + BATCH * share : share], own[a + r : a + BATCH * share : share]
-                        if len(t):
-                            net.step(c, t, RATE / (1 + seen / 2_000_000))
-                            seen += len(t)
+                    for at in targets(len(own), r, rounds):
+                        net.step(context[at], own[at], RATE / (1 + seen / 2_000_000))
+                        seen += len(own[at])
             if seen:
                 new = net.flat().astype(np.float64) * seen
                 blocks = [new[a : a + _BLOCK] for a in range(0, len(new), _BLOCK)]

@@ -499,6 +499,12 @@ def test_near_dedup_by_row(spark):
     assert {(r.doc_id, r.text) for r in kept} == {rows[0], rows[1], rows[4]}
 
 
+def test_every_place_is_a_target():
+    for n in (0, 1, 2, 7, 2 * lm.BATCH * lm.ROUNDS + 3):
+        seen = [i for r in range(lm.ROUNDS) for at in lm.targets(n, r) for i in range(n)[at]]
+        assert sorted(seen) == list(range(n))
+
+
 def test_words_of_a_class_score_by_their_counts(spark):
     of = lambda word: int(word_hashes(Words(pa.array([word]), WS_LOWER))[0] >> np.uint64(33)) % lm.HASHED
     often = "often"
