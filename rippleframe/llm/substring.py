@@ -108,7 +108,8 @@ def _settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
     same = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])])
     group = np.cumsum(~same) - 1
     later = id_ > id_[np.flatnonzero(~same)][group]
-    later |= same & np.concatenate([[False], (id_[1:] == id_[:-1]) & (tag[1:] == tag[:-1])])
+    text = same & np.concatenate([[False], (id_[1:] == id_[:-1]) & (tag[1:] == tag[:-1])])
+    later |= pos > pos[np.flatnonzero(~text)][np.cumsum(~text) - 1]  # a repeated row has its windows at the same places
     go = ~later
     yield _window_rows(h1[go], h2[go], id_[go], tag[go], pos[go], np.zeros(int(go.sum())))
     id_, tag, pos = id_[later], tag[later], pos[later]

@@ -514,3 +514,10 @@ def test_words_of_a_class_score_by_their_counts(spark):
     got = {r.id: r for r in lm.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert np.isclose(got[1].log_likelihood - got[2].log_likelihood, np.log(9 / 2), atol=1e-4)
     assert np.isclose(got[None].log_likelihood, got[1].log_likelihood)
+
+
+def test_substring_repeated_row_in_one_partition(spark):
+    text = " ".join(f"w{i}" for i in range(25))
+    df = spark.createDataFrame([(1, text), (1, text), (2, "x " + text), (3, text + " y " + text)], "doc_id long, text string").coalesce(1)
+    got = sorted((r.id, r.n_removed) for r in substring.substring_dedup(df).collect())
+    assert got == [(1, 0), (1, 0), (2, 25), (3, 50)]
