@@ -31,8 +31,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))  # ids may be null or repeat
+    hit = decontaminate(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("id").alias("_row")).distinct()
+    return rows.join(hit, "_row", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,6 +158,8 @@ def half_is_snapshot(id_col: str = "doc_id"):
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups() does not keep."""
-    dropped = exact_groups(docs, half_is_snapshot(id_col), id_col, text_col).filter("not kept").select(F.col("id").alias("_drop")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_drop"]), "left_anti")
+    """docs without the rows that exact_groups() does not keep, told by id and text: other texts of a dropped id stay."""
+    dropped = exact_groups(docs, half_is_snapshot(id_col), id_col, text_col).filter("not kept").select(F.col("id").alias("_drop"), F.col("digest").alias("_text")).distinct()
+    norm = F.regexp_replace(text_or_empty(text_col).cast("string"), r"[\x20\x09-\x0D]+", "")
+    own = docs.withColumn("_digest", F.unhex(F.sha2(norm, 256)))
+    return own.join(dropped, (own["_digest"] == dropped["_text"]) & own[id_col].eqNullSafe(dropped["_drop"]), "left_anti").drop("_digest")

@@ -55,3 +55,14 @@ def test_stages(spark, folder):
             assert r.offset == at
             at += r.length
         assert at <= 2048
+
+
+def test_null_and_repeated_ids(spark, folder):
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "one text", None, None, 1), (None, "one  text", None, None, 1), (None, "another text", None, None, 1), (2, "one text", None, None, 1), (2, "a third", None, None, 1)]
+    kept = corpus_pipeline.drop_exact_copies(spark, spark.createDataFrame(rows, schema), folder).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(None, "one  text"), (None, "another text"), (2, "a third")}
+    rows = [(None, f"begin {item} end", None, None, 1), (None, "clean", None, None, 1), (3, item, None, None, 1), (3, "clean too", None, None, 1)]
+    kept = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, schema), folder).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(None, "clean"), (3, "clean too")}
