@@ -5,11 +5,13 @@ bytes, so they share at least four positional bytes (the guaranteed minimum). Po
 would grow with the square of the input, so postings are kept for the twenty position triples of a covering: every
 four positions contain one of these triples, hence every pair with the guaranteed minimum meets in a posting. For
 each met pair the shared positional bytes are tallied, pairs under the minimum are dropped, the rest verified bit
-by bit. Inside a posting only a spanning forest of the verified links leaves the task.
+by bit. Inside a posting a found fingerprint leaves the search, so that one link a fingerprint goes on, and of all
+postings of a task only a spanning forest leaves it.
 
-Postings with more than ``split`` fingerprints never reach one task: their fingerprints are linked through variants
-with up to two flipped bits (two fingerprints at four bits or fewer have a common variant, and a common variant
-implies four bits or fewer), which is exact and linear in the number of fingerprints.
+Postings with more than ``split`` fingerprints go on under a fourth shared position, which every pair that meets there
+must have as well. Those still over ``split`` never reach one task: their fingerprints are linked through variants with
+up to two flipped bits (two fingerprints at four bits or fewer have a common variant, and a common variant implies four
+bits or fewer), which is exact and linear in the number of fingerprints.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WS_LOWER, Words, gram_hashes, materialize, mix64, slices, word_hashes
-from .components import components
+from .components import components, roots_of
 
 POSITIONS, MAX_BITS, MIN_SHARED = 8, 4, 4
 
@@ -44,8 +46,8 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 
 #: near_dedup(): words in a shingle, least Jaccard similarity, and the part fingerprints (BANDS of ROWS least hashes each).
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 5
-#: Postings of part fingerprints with more rows meet through pivots first.
-WHOLE = 16
+#: Postings of part fingerprints with more rows meet through pivots first; then pairs still apart whose sketches agree in LIKELY.
+WHOLE, CHUNK, LIKELY = 16, 2048, 0.68
 _DRAW = np.random.default_rng(20250117)
 _TIMES = _DRAW.integers(0, 2**31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _DRAW.integers(0, 2**32, BANDS * ROWS).astype(np.uint32)
@@ -87,50 +89,73 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join(["id long", *(f"{n} long" for n in names)]))
 
 
-def _forest(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of verified links among rows of equal key; rows are sorted by key."""
-    n = len(key)
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(starts, n))
-    a, b = [], []
-    for step in range(1, int(size.max())):
-        i = np.flatnonzero(key[step:] == key[: n - step])
-        x = fp[i] ^ fp[i + step]
-        shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        i = i[(shared >= MIN_SHARED) & (np.bitwise_count(x) <= MAX_BITS)]
-        a.append(i)
-        b.append(i + step)
-    a, b = np.concatenate(a), np.concatenate(b)
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
+def _near(x: np.ndarray) -> np.ndarray:
+    """Of differing bits of pairs: the shared positional bytes reach the minimum, and the verified distance is in bounds."""
+    shared = (x[..., None].view(np.uint8) == 0).sum(axis=-1)
+    return (shared >= MIN_SHARED) & (np.bitwise_count(x) <= MAX_BITS)
+
+
+def _small_postings(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links among rows of equal key (sorted; at most ``most`` rows a key)."""
+    a, b = [fp[:0]], [fp[:0]]
+    for step in range(1, most):
+        i = np.flatnonzero(key[step:] == key[:-step])
+        if not len(i):
             break
-        label = new
-    linked = np.flatnonzero(label != np.arange(n))
-    return fp[linked], fp[label[linked]]
+        i = i[_near(fp[i] ^ fp[i + step])]
+        a.append(fp[i + step])
+        b.append(fp[i])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _large_posting(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of one posting: what is found from a root leaves the search."""
+    a, b = [], []
+    while len(fp) > 1:
+        front, root, fp = fp[:1], fp[0], fp[1:]
+        while len(front) and len(fp):
+            near = np.zeros(len(fp), bool)
+            for at in range(0, len(front), 64):
+                near |= _near(front[at : at + 64, None] ^ fp[None, :]).any(axis=0)
+            front, fp = fp[near], fp[~near]
+            a.append(front)
+            b.append(np.full(len(front), root))
+    return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
 
 
 def _bucket_links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, fp) to links (a, b); of the links of a task only a spanning forest goes on."""
     rest = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-    def emit(key, fp):
-        if len(key) > 1:
-            x, y = _forest(key, fp)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def find(key, fp):
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        n = np.diff(np.append(starts, len(key)))
+        small = np.repeat(n <= 32, n)
+        yield _small_postings(key[small], fp[small], 32)
+        for s, m in zip(starts[n > 32].tolist(), n[n > 32].tolist(), strict=True):
+            yield _large_posting(fp[s : s + m])
+
+    def out():
+        nodes, low = roots_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        up = nodes != low
+        return pa.RecordBatch.from_arrays([pa.array(nodes[up].view(np.int64)), pa.array(low[up].view(np.int64))], ["a", "b"])
 
     for batch in it:
         key = np.concatenate([rest[0], batch.column("key").to_numpy(zero_copy_only=False)])
         fp = np.concatenate([rest[1], batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
         cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        yield from emit(key[:cut], fp[:cut])
+        for x in find(key[:cut], fp[:cut]):
+            held.append(x)
+            size += len(x[0])
         rest = (key[cut:], fp[cut:])
-    yield from emit(*rest)
+        if size > 1_000_000:
+            yield out()
+            held, size = [], 0
+    held += find(*rest)
+    if held:
+        yield out()
 
 
 def _variants(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,24 +169,33 @@ def _variants(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, len(masks)).view(np.int64)), pa.array(v.view(np.int64))], ["fp", "v"])
 
 
-def links(fps: DataFrame, split: int = 256) -> DataFrame:
+def _in_postings(members: DataFrame) -> DataFrame:
+    return members.select(F.col("key").cast("long").alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_links, "a long, b long")
+
+
+def links(fps: DataFrame, split: int = 4096) -> DataFrame:
     """Links (a, b) between distinct fingerprints of column fp; their components are those of all links at four bits or fewer."""
     byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(POSITIONS)]
     keys = [F.lit(n << 24).bitwiseOR(F.shiftleft(byte[p], 16)).bitwiseOR(F.shiftleft(byte[q], 8)).bitwiseOR(byte[r]) for n, (p, q, r) in enumerate(TRIPLES)]
     index = fps.select("fp").select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = materialize(index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "posting")
     members = index.join(sizes, "key")
-    cold = members.filter(F.col("n") <= split).select("key", "fp").repartition("key").sortWithinPartitions("key")
-    found = cold.mapInArrow(_bucket_links, "a long, b long")
+    found = _in_postings(members.filter(F.col("n") <= split))
     if sizes.filter(F.col("n") > split).limit(1).count():
-        hot = members.filter(F.col("n") > split).select("fp").distinct().mapInArrow(_variants, "fp long, v long")
-        hot = materialize(hot, "variants")
-        root = hot.groupBy("v").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").select("v", "b")
-        found = found.unionAll(hot.join(root, "v").filter("fp <> b").select(F.col("fp").alias("a"), "b"))
-    return found.distinct()
-
-
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, split: int = 256) -> DataFrame:
+        others = F.array(*(F.array(*(F.lit(p) for p in range(POSITIONS) if p not in t)) for t in TRIPLES))
+        fourth = members.filter(F.col("n") > split).select("fp", "key", F.explode(F.element_at(others, (F.shiftright("key", 24) + 1).cast("int"))).alias("p"))
+        fourth = fourth.select("fp", F.shiftleft("key", 11).bitwiseOR(F.shiftleft("p", 8)).bitwiseOR(F.expr("shiftrightunsigned(fp, 8 * p) & 255")).alias("key"))
+        sizes = materialize(fourth.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "posting")
+        members = fourth.join(sizes, "key")
+        found = found.unionAll(_in_postings(members.filter(F.col("n") <= split)))
+        if sizes.filter(F.col("n") > split).limit(1).count():
+            hot = materialize(members.filter(F.col("n") > split).select("fp").distinct().mapInArrow(_variants, "fp long, v long"), "variants")
+            root = hot.groupBy("v").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").select("v", "b")
+            found = found.unionAll(hot.join(root, "v").filter("fp <> b").select(F.col("fp").alias("a"), "b"))
+    return found
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, split: int = 4096) -> DataFrame:
     """One row (id, fp, component_id, group_size) per document row.
 
     Documents link when their fingerprints differ in at most four bits; component_id is the smallest id reachable.
@@ -201,19 +235,20 @@ def shingle_sets(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(of, np.arange(docs + 1))
 
 
-def _parts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """BANDS part fingerprints per text: each the hash of the ROWS shingles that come first in ROWS fixed random orders."""
+def _parts(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS part fingerprints per text, each the hash of the ROWS shingles that come first in ROWS fixed random orders, and a byte of each of these as the text's sketch."""
     docs = len(first) - 1
     full = np.flatnonzero(np.diff(first) > 0)
-    out = np.zeros((docs, BANDS), np.uint64)
+    out, sketch = np.zeros((docs, BANDS), np.uint64), np.zeros((docs, BANDS * ROWS), np.uint8)
     low = (h >> np.uint64(32)).astype(np.uint32)
     for b in range(BANDS):
         key = np.full(len(full), b + 1, np.uint64)
         for r in range(b * ROWS, (b + 1) * ROWS):
             least = np.minimum.reduceat(low * _TIMES[r] + _PLUS[r], first[full]) if len(full) else np.zeros(0, np.uint32)
             key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least)
+            sketch[full, r] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
         out[full, b] = key
-    return out
+    return out, sketch
 
 
 def _views(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +256,9 @@ def _views(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text", 1 << 20):
             w = Words(part.column("text"), WS_LOWER)
             fp = _fingerprints(w, w.joined() if w.n else None, SHINGLE, 42)
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(_parts(*shingle_sets(w)).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("id"), pa.array(fp.view(np.int64)), keys], ["node", "id", "fp", "keys"])
+            keys, sketch = _parts(*shingle_sets(w))
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("id"), pa.array(fp.view(np.int64)), keys, pa.array([x.tobytes() for x in sketch], pa.binary())], ["node", "id", "fp", "keys", "sketch"])
 
 
 def _packed_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,16 +294,46 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+def _across(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, chunk), asking rows first: pairs of an asking and another row of different roots with sketches that agree in LIKELY."""
+    asking: list[tuple] = []
+    at = None
+
+    for batch in it:
+        key, chunk, asks, node, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "chunk", "asks", "node", "root"))
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])])) if len(key) else np.zeros(0, np.int64)
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist(), strict=True):
+            if at != (key[a], chunk[a]):
+                at, asking = (key[a], chunk[a]), []
+            ask, own = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
+            if len(ask):
+                asking.append((node[ask], root[ask], sketch[ask]))
+            if not asking or not len(own):
+                continue
+            n, r, s = (np.concatenate(x) for x in zip(*asking, strict=True))
+            for i in range(0, len(n), 64):
+                alike = np.zeros((len(n[i : i + 64]), len(own)), np.int16)
+                for c in range(0, BANDS * ROWS, 8):  # eight bytes at a time keep the work array small
+                    alike += (s[i : i + 64, None, c : c + 8] == sketch[None, own, c : c + 8]).sum(axis=2, dtype=np.int16)
+                x, y = np.nonzero((alike >= LIKELY * BANDS * ROWS) & (r[i : i + 64, None] != root[None, own]))
+                if len(x):
+                    p, q = n[i : i + 64][x], node[own][y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(node, id) per row, node a hash of id and text, and (a, b) links of nodes whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
     Candidates are SimHash links of the whole text and equal fingerprints of text parts: each of 24 parts holds the five
     shingles that come first in five random orders, so a pair at 0.8 shares one with probability 0.9999. Each candidate
-    is verified on the exact sets of shingles. Members of a large posting meet three pivots first; those that are then
-    in different components all meet each other.
+    is verified on the exact sets of shingles. Members of a posting of more than WHOLE meet three pivots first; then
+    members outside the posting's largest component are held against all others, CHUNK at a time, by sketches of 120
+    bytes, and pairs of different components that agree in LIKELY of them (a pair at 0.8 does with probability 0.999)
+    are verified as well.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("id", "text").alias("node"), "id", "text")
-    views = materialize(rows.mapInArrow(_views, "node long, id long, fp long, keys array<long>"), "views")
+    views = materialize(rows.mapInArrow(_views, "node long, id long, fp long, keys array<long>, sketch binary"), "views")
     nodes = materialize(views.groupBy("fp").agg(F.min("node").alias("rep"), F.max("node").alias("most")), "fpnode")
     same = views.select("node", "fp").join(nodes.filter("rep < most"), "fp")
     left, right = nodes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), nodes.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
@@ -279,7 +345,9 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lists = members.filter(F.col("n") <= WHOLE).groupBy("key").agg(F.collect_set("node").alias("s"))
     found = found.unionAll(lists.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).filter("a < b"))
     large = members.filter(F.col("n") > WHOLE)
-    pivots = large.groupBy("key").agg(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(3))).alias("p"))
+    central = large.groupBy("node").agg(F.sum("n").alias("c"))  # texts in many large postings lie in the middle of a group
+    drawn = (F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(2))
+    pivots = large.join(central, "node").groupBy("key").agg(F.array(F.max_by("node", F.struct("c", "node")), *drawn).alias("p"))
     found = found.unionAll(_pairs(large.join(pivots, "key").select("node", F.explode("p").alias("p")), "node", "p"))
     found = materialize(found.distinct(), "pairs")
     wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -288,11 +356,14 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ok = _verified(found, sets)
     if sizes.filter(F.col("n") > WHOLE).limit(1).count():
         roots = components(ok).withColumnRenamed("node", "_node")
-        own = large.join(roots, large.node == roots._node, "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-        own = materialize(own.join(mixed, "key").distinct(), "mixed")
-        other = own.select("key", F.col("node").alias("other"), F.col("root").alias("_root"))
-        apart = _pairs(own.join(other, "key").filter("root < _root"), "node", "other").join(found, ["a", "b"], "left_anti")
+        own = materialize(large.join(roots, large.node == roots._node, "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")).distinct(), "own")
+        each = own.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"))
+        mixed = own.join(each.filter("roots > 1").select("key", "main"), "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+        asks = mixed.filter("root <> main").select("key", "node", "root", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("asks"))
+        held = mixed.select("key", "node", "root", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("asks"))
+        sketches = views.groupBy("node").agg(F.first("sketch").alias("sketch"))
+        met = asks.unionAll(held).join(sketches, "node").repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.desc("asks"))
+        apart = met.select("key", "chunk", "asks", "node", "root", "sketch").mapInArrow(_across, "a long, b long").distinct().join(found, ["a", "b"], "left_anti")
         ok = ok.unionAll(_verified(apart, sets))
     return views.select("node", "id"), ok
 

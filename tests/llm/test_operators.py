@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from rippleframe.llm import attribution, binary, exact, lm, packing, simhash, substring, tokens, toxicity, warc, winnow
+from rippleframe.llm import attribution, binary, components, exact, lm, packing, simhash, substring, tokens, toxicity, warc, winnow
 from rippleframe.llm.common import WS_LOWER, Words, word_hashes
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("id", T.StringType()), T.StructField("fp", T.IntegerType()), T.StructField("row", T.IntegerType())])
@@ -76,7 +76,7 @@ def plain_components(ids, fps, most=4):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("split", [256, 2])
+@pytest.mark.parametrize("split", [4096, 2])
 def test_simhash(docs, split):
     got = {r.id: (r.fp % 2**64, r.component_id) for r in simhash.simhash_groups(docs, split=split).collect()}
     ids, fps = [r[0] for r in ROWS], [plain_fingerprint(r[1]) for r in ROWS]
@@ -91,7 +91,7 @@ def test_simhash_cover():
     assert all(any(set(t) <= set(four) for t in simhash.TRIPLES) for four in combinations(range(8), 4))
 
 
-@pytest.mark.parametrize("split", [256, 3])
+@pytest.mark.parametrize("split", [4096, 6, 2])
 def test_simhash_links_random(spark, split):
     rng = random.Random(1)
     fps = []
@@ -118,6 +118,41 @@ def test_simhash_links_random(spark, split):
     assert {f: find(f) for f in fps} == want
 
 
+@pytest.mark.parametrize("split", [4096, 40])
+def test_simhash_links_grow_with_their_group(spark, split):
+    rng = random.Random(2)
+    center, each = rng.getrandbits(64), []
+    for m in (300, 1200, 2400):
+        fps = set()
+        while len(fps) < m:
+            fps.add(center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))))
+        df = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp long")
+        found = simhash.links(df, split)
+        each.append(found.count())
+        got = {r.node % 2**64: r.root for r in components.components(found).collect()}
+        root = plain_components(sorted(fps), sorted(fps))
+        assert {f: [x for x in fps if got.get(x, x) == got.get(f, f)].__len__() for f in list(fps)[:20]} == {f: list(root.values()).count(root[f]) for f in list(fps)[:20]}
+        if split == 4096:
+            assert each[-1] <= 20 * m
+
+
+@pytest.mark.parametrize("in_task", [2_000_000, 50])
+def test_components(spark, in_task):
+    rng = random.Random(4)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(230)] + [(i, i + 1) for i in range(1000, 1100)] + [(None, 5), (7, 7)]
+    want = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            want.setdefault(a, a), want.setdefault(b, b)
+    for _ in range(300):
+        for a, b in edges:
+            if a in want and b in want and a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(7), in_task=in_task).collect()}
+    assert got == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_simhash_edges_of_input(odd, empty):
     rows = simhash.simhash_groups(odd).collect()
     assert len(rows) == odd.count()
