@@ -123,19 +123,6 @@ def utf8_buffer(texts: pa.Array) -> tuple[bytes, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
-_POW = np.ones(1, np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POW
-    if len(_POW) < n:
-        _POW = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 256), _BASE)]))
-    return _POW
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3."""
     h = h ^ (h >> np.uint64(33))
@@ -145,16 +132,28 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(w: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same in every process."""
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(w: Words, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, the same in every process; hashes of different seeds are independent.
+
+    Eight bytes at a time are mixed with their place in the word before they are added up, so that no arithmetic
+    pattern of equal letters makes two words meet (as Thue-Morse words do in a polynomial hash).
+    """
     if not w.n:
         return np.zeros(0, np.uint64)
     size = w.end - w.start
-    at = np.flatnonzero(w.word)
-    begins = np.concatenate([[0], np.cumsum(size)[:-1]])
-    within = np.arange(len(at)) - np.repeat(begins, size)
-    values = _BYTE[w.buf[at]] * _powers(int(size.max()) + 1)[within]
-    return mix64(np.add.reduceat(values, begins) + size.astype(np.uint64))
+    blocks = (size + 7) >> 3
+    begins = np.cumsum(blocks) - blocks
+    within = np.arange(int(blocks.sum())) - np.repeat(begins, blocks)
+    at = np.repeat(w.start, blocks) + 8 * within
+    left = np.minimum(np.repeat(w.end, blocks) - at, 8)
+    value = np.ndarray((len(w.buf) + 1,), "<u8", w.text + bytes(16), strides=(1,))[at] & _MASKS[left]
+    key = np.uint64(seed * 0xA0761D6478BD642F + 1 & (2**64 - 1))
+    value = mix64(value ^ mix64(within.astype(np.uint64) * _ODD + key))
+    return mix64(np.add.reduceat(value, begins) + size.astype(np.uint64) * _ODD + key)
 
 
 def gram_hashes(words: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:

@@ -4,8 +4,9 @@ Every text is cut into non-overlapping blocks of half a window; the blocks' hash
 twice holds, at either place, a word run that equals a block of the other place, so rolling half-windows of all texts
 probe the index and only windows around a hit go on. The index is held as two fixed-size bit tables (blocks seen,
 blocks seen twice): their size does not depend on the data, and when they fill up more windows go on, none is lost.
-Hits are extended to whole windows, which meet by a 96-bit hash of their words; the first place of each window stays
-and runs of later places are merged to maximal repeats.
+Hits are extended to whole windows, which meet by 96 bits made of two independent hashes of their words (two different
+windows among 10^12 would meet with probability 10^-5); the first place of each window stays and runs of later places
+are merged to maximal repeats.
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
                 whole = whole[total[whole + window - k + 1] > total[whole]]
                 doc = w.doc()[whole]
                 h1 = gram_hashes(words, window)[whole].view(np.int64)
-                h2 = (gram_hashes(words, window, 0xA0761D6478BD642F)[whole] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                h2 = (gram_hashes(word_hashes(w, 1), window, 0xA0761D6478BD642F)[whole] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 id_, tag = (part.column(x).to_numpy(zero_copy_only=False)[doc] for x in ("id", "tag"))
                 held.append((h1, h2, id_, tag, whole - w.first[doc]))
                 size += len(whole)

@@ -556,3 +556,35 @@ def test_substring_repeated_row_in_one_partition(spark):
     df = spark.createDataFrame([(1, text), (1, text), (2, "x " + text), (3, text + " y " + text)], "doc_id long, text string").coalesce(1)
     got = sorted((r.id, r.n_removed) for r in substring.substring_dedup(df).collect())
     assert got == [(1, 0), (1, 0), (2, 25), (3, 50)]
+
+
+def test_substring_repeated_rows_in_two_partitions(spark):
+    text = " ".join(f"w{i}" for i in range(25))
+    other = " ".join(f"v{i}" for i in range(25))
+    df = spark.createDataFrame([(1, text), (1, text), (1, text + " " + other), (2, other), (None, "a " + other)], "doc_id long, text string").repartition(5)
+    got = sorted((r.id or 0, r.n_words, r.n_removed) for r in substring.substring_dedup(df).collect())
+    assert got == [(0, 26, 0), (1, 25, 0), (1, 25, 0), (1, 50, 25), (2, 25, 25)]
+
+
+def test_words_of_arithmetic_patterns_differ(spark):
+    for n in (8, 64, 1024, 4096):
+        odd = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        even = odd.translate(str.maketrans("ab", "ba"))
+        w = Words(pa.array([f"{odd} {even}", f"{odd} {even} {odd[:-1]}", odd[1:]]), WS_LOWER)
+        h = word_hashes(w).tolist()
+        assert h[:2] == h[2:4] and len(set(h)) == 4 and not set(h) & set(word_hashes(w, 1).tolist())
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{rest} {odd}"), (2, f"{rest} {even}"), (3, f"{rest} {even}")]
+    assert sorted((r.id, r.n_removed) for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [(1, 0), (2, 0), (3, 20)]
+
+
+def test_long_texts(spark):
+    rng = random.Random(12)
+    words = [rng.choice(["ab", "cd", "É", "x" * 40, "9"]) + str(rng.randint(0, 9)) for _ in range(20_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[3000:9000])), (3, " ".join(words[:19_990] + ["end"])), (4, "y" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: (r.n_words, r.n_removed, r.kept_text) for r in substring.substring_dedup(docs).collect()} == plain_substring(rows)
+    assert {r.id: r.fp % 2**64 for r in simhash.simhash_groups(docs).collect()} == {d: plain_fingerprint(t) for d, t in rows}
+    assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == {1, 2, 4}
+    items = spark.createDataFrame([(1, " ".join(words[500:540]))], "item_id long, text string")
+    assert {r.id: r.n_hit >= 40 for r in winnow.decontaminate(docs, items).collect()} == {1: True, 2: False, 3: True, 4: False}
