@@ -2,8 +2,8 @@
 
 A byte-level BPE never merges across a single ASCII space that stands between two characters which are not white
 space, so a text is cut there and each distinct piece is encoded once and remembered. Pieces of letters with
-punctuation behind them are cut once more, where the pre-tokenizer's pattern cuts as well. The ids equal those of
-encoding the whole text; the tests compare both.
+punctuation behind them are cut once more, where the pre-tokenizer's pattern cuts as well. Texts that hold the content
+of an added token are encoded whole. The ids equal those of encoding the whole text; the tests compare both.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters, self.limit = self.tokenizer.model, _byte_letters(), limit
         #: ids of pieces that have a space before them (keys without it), of others, and of letters alone.
         self.after: dict[str, bytes | None] = {}
@@ -53,6 +53,9 @@ class Encoder:
     def _whole(self, s: str) -> bytes:
         return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
 
+    def _has_added(self, text: str) -> bool:
+        return any(a in text for a in self.added)
+
     def _letters(self, stems: list[str], space: str) -> None:
         """Remember pieces that are letters only; space: the byte letter of a space, or nothing."""
         tokenize, known = self.model.tokenize, self.stems
@@ -98,12 +101,12 @@ class Encoder:
             after.clear()
             self.start.clear()
             self.stems.clear()
-        split = [t.split(" ") for t in texts]
+        split = [[""] if self._has_added(t) else t.split(" ") for t in texts]
         self._learn(set().union(*(p[1:] for p in split)).difference(after), after, " ")
         self._learn({p[0] for p in split if p[0] and not p[0][-1].isspace()}.difference(self.start), self.start, "")
         out = []
         for text, parts in zip(texts, split, strict=True):
-            first = self.start.get(parts[0])
+            first = self.start.get(parts[0]) if parts[0] or len(parts) > 1 else None
             if first is not None:
                 try:
                     del parts[0]
@@ -118,6 +121,8 @@ class Encoder:
         """For texts with runs of white space: cut only where no white space is beside the space."""
         if not text:
             return b""
+        if self._has_added(text):
+            return self._whole(text)
         first, *rest = _CUT.split(text)
         self._learn(set(rest).difference(self.after), self.after, " ")
         return (self._whole(first) if first[0].isspace() or first[-1].isspace() else self._start(first)) + b"".join([self.after[p] or self._whole(" " + p) for p in rest])
@@ -172,14 +177,14 @@ class OffsetEncoder(Encoder):
             after.clear()
             self.start.clear()
             self.stems.clear()
-        cut = [_CUT.split(t) if t else [] for t in texts]
+        cut = [([t] if self._has_added(t) else _CUT.split(t)) if t else [] for t in texts]
         self._learn(set().union(*(p[1:] for p in cut)).difference(after), after, " ")
         for pieces in cut:
             if not pieces:
                 out.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
                 continue
             first = pieces[0]
-            held = [self._whole(first) if first[0].isspace() or first[-1].isspace() else self._start(first)]
+            held = [self._whole(first) if first[0].isspace() or first[-1].isspace() or self._has_added(first) else self._start(first)]
             held += [after[p] or self._whole(" " + p) for p in pieces[1:]]
             pairs = np.frombuffer(b"".join(held), "<u4").astype(np.int64).reshape(-1, 2)
             counts = np.fromiter((len(h) >> 3 for h in held), np.int64, len(held))
