@@ -1,14 +1,16 @@
 """Token ids as canonical length-limited Huffman codes in independent blocks.
 
-A file holds a header with the code length of each id (canonical codes need no more), then blocks of documents. Each
-block can be decoded alone: it lists its documents and, for every ``step`` ids of a document, the bit offset at which
-they begin (checkpoints). Decoding looks up ``max_bits`` bits at a time in a table and runs over all checkpoints of a
-block at once.
+A token archive is a folder: ``codes`` holds the code length of each id once (canonical codes need no more), ``blocks``
+one row a block with the range of its doc_ids and the number of ids before it. Each block can be decoded alone: it lists
+its documents and, for every ``step`` ids of a document, the bit offset at which they begin (checkpoints), so that a
+range of ids of one document is read from the checkpoint before it. Decoding looks up ``max_bits`` bits at a time in a
+table and runs over all checkpoints of a block at once.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +23,10 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, slices, work_dir
 from .tokens import default_vocabulary, encoder
 
-MAGIC, MAX_BITS, STEP, BLOCK_IDS = b"RFTB1\n", 16, 256, 1 << 18
+MAX_BITS, STEP, BLOCK_IDS = 16, 256, 1 << 18
+#: Ids of a part (a sorted run of blocks), and the most parts; beyond, parts grow.
+PART_IDS, MOST_PARTS = 2_000_000, 16_384
+_HEAD = struct.Struct("<QIIIII")  # ids before it in its part, documents, checkpoints, words, null doc_ids, CRC-32 of the rest
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -78,8 +83,8 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return table, size, top
 
 
-def encode_block(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.ndarray, first: int) -> bytes:
-    """One block: head, documents, checkpoints, bits. first: ids of all documents before it."""
+def encode_block(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.ndarray, first: int, nulls: int = 0) -> bytes:
+    """One block: head, documents, checkpoints, bits. first: ids of its part before it; nulls: how many of the first doc_ids are null."""
     size = lengths[ids].astype(np.int64)
     ends = np.cumsum(size)
     begins = ends - size
@@ -94,23 +99,28 @@ def encode_block(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, lengt
     lanes = np.concatenate([np.arange(a, b, STEP) for a, b in zip(starts, starts[1:], strict=False)]) if len(counts) else np.zeros(0, np.int64)
     marks = begins[lanes].astype("<u4")
     body = doc_ids.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + marks.tobytes() + words.astype(">u4").tobytes()
-    return struct.pack("<QIII", first, len(doc_ids), len(marks), len(words)) + struct.pack("<I", zlib.crc32(body)) + body
+    return _HEAD.pack(first, len(doc_ids), len(marks), len(words), nulls, zlib.crc32(body)) + body
 
 
-def decode_block(block: bytes, table: np.ndarray, size: np.ndarray, top: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, doc ids, counts, ids) of a block; fails on a damaged one."""
-    first, docs, marks, words, crc = struct.unpack_from("<QIIII", block)
-    if zlib.crc32(block[24:]) != crc:
+def _open_block(block: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    first, docs, marks, words, nulls, crc = _HEAD.unpack_from(block)
+    if zlib.crc32(memoryview(block)[_HEAD.size :]) != crc:
         raise ValueError("a block is damaged")
-    at = 24
+    at = _HEAD.size
     doc_ids = np.frombuffer(block, "<i8", docs, at)
     counts = np.frombuffer(block, "<u4", docs, at + 8 * docs).astype(np.int64)
     pos = np.frombuffer(block, "<u4", marks, at + 12 * docs).astype(np.int64)
-    bits = np.frombuffer(block, ">u4", words, at + 12 * docs + 4 * marks).astype(np.uint64)
+    return first, nulls, doc_ids, counts, pos, np.frombuffer(block, ">u4", words, at + 12 * docs + 4 * marks)
+
+
+def decode_block(block: bytes, table: np.ndarray, size: np.ndarray, top: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, nulls, doc ids, counts, ids) of a block; fails on a damaged one."""
+    first, nulls, doc_ids, counts, pos, bits = _open_block(block)
+    bits = bits.astype(np.uint64)
     pairs = (bits[:-1] << np.uint64(32)) | bits[1:]
     lanes_of = -(-counts // STEP)
     starts = np.cumsum(counts) - counts
-    within = np.arange(marks) - np.repeat(np.cumsum(lanes_of) - lanes_of, lanes_of)
+    within = np.arange(len(pos)) - np.repeat(np.cumsum(lanes_of) - lanes_of, lanes_of)
     begin = np.repeat(starts, lanes_of) + within * STEP
     left = np.minimum(STEP, np.repeat(counts, lanes_of) - within * STEP)
     order = np.argsort(-left, kind="stable")
@@ -125,7 +135,23 @@ def decode_block(block: bytes, table: np.ndarray, size: np.ndarray, top: int) ->
         key = ((pairs[p >> 5] << (p & 31).astype(np.uint64)) >> down).astype(np.int64)
         out[begin[:n] + step] = table[key]
         pos[:n] += size[key]
-    return first, doc_ids, counts, out
+    return first, nulls, doc_ids, counts, out
+
+
+def decode_range(block: bytes, document: int, begin: int, end: int, table: np.ndarray, size: np.ndarray, top: int) -> np.ndarray:
+    """Ids begin to end of one document of a block, read from the checkpoint at or before begin."""
+    _, _, _, counts, pos, bits = _open_block(block)
+    end = min(end, int(counts[document]))
+    if begin >= end:
+        return np.zeros(0, np.uint32)
+    lane = int((-(-counts[:document] // STEP)).sum()) + begin // STEP
+    at, out = int(pos[lane]), []
+    for _ in range(end - begin // STEP * STEP):
+        pair = int(bits[at >> 5]) << 32 | int(bits[(at >> 5) + 1])
+        key = pair >> (64 - top - (at & 31)) & (1 << top) - 1
+        out.append(table[key])
+        at += int(size[key])
+    return np.array(out[begin % STEP :], np.uint32)
 
 
 def pack_ids(ids: bytes) -> bytes:
@@ -177,93 +203,110 @@ def _tally(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_tokens(rows: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
-    """Write packed token_rows() to Parquet-held files of this format at path, in ascending doc_id order over part numbers.
+    """Write packed token_rows() as a token archive at path, blocks in ascending doc_id order over (part, block).
 
-    Each row of the written table is one part: its number and the whole file's bytes. Rows of equal doc_id stay side by
-    side in any order. A null doc_id sorts first and is written as the smallest long. No rows: an empty table.
+    Null doc_ids come first; rows of equal doc_id stay side by side in any order. No rows: an archive without blocks.
     """
     spark = rows.sparkSession
-    rows = materialize(rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "n_tokens", "ids"), "ids")
+    rows = materialize(rows, "ids")
     tally = rows.filter("n_tokens < 0").mapInArrow(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many as the vocabulary has
     counts = np.zeros(max((r.id for r in tally), default=0) + 1, np.int64)
     for r in tally:
         counts[r.id] = r.n
     lengths = code_lengths(counts, max_bits)
-    parts = max(1, int(counts.sum() // 2_000_000))
+    spark.createDataFrame([(bytearray(zlib.compress(lengths.tobytes(), 6)),)], "lengths binary").write.parquet(f"{path}/codes")
+    parts = min(max(1, int(counts.sum() // PART_IDS)), MOST_PARTS)
     ordered = rows.filter("n_tokens >= 0").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     shared = spark.sparkContext.broadcast(lengths)  # one byte an id of the vocabulary
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lengths = shared.value
+        lengths, part = shared.value, TaskContext.get().partitionId()
         codes = canonical_codes(lengths)
-        blocks, docs, held, n, before = [], [], [], 0, 0
+        docs, held, n, before, number = [], [], 0, 0, 0
 
-        def close():
-            nonlocal docs, held, n, before
+        def closed():
+            nulls = sum(d is None for d in docs)
+            known = docs[nulls:]
             ids = np.frombuffer(b"".join(held), "<u4")
-            blocks.append(encode_block(ids, np.array(docs, np.int64), np.array([len(x) // 4 for x in held], np.int64), lengths, codes, before))
-            before += n
-            docs, held, n = [], [], 0
+            block = encode_block(ids, np.array([0] * nulls + known, np.int64), np.array([len(x) // 4 for x in held], np.int64), lengths, codes, before, nulls)
+            row = ([part], [number], [before], [len(ids)], [known[0] if known else None], [known[-1] if known else None], [block])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "block", "first", "ids", "low", "high", "data"])
 
-        lowest = None
         for batch in it:
             for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                lowest = doc if lowest is None else lowest
                 docs.append(doc)
-                x = unpack_ids(x)
-                held.append(x)
-                n += len(x) // 4
+                held.append(unpack_ids(x))
+                n += len(held[-1]) // 4
                 if n >= BLOCK_IDS:
-                    close()
+                    yield closed()
+                    docs, held, n, before, number = [], [], 0, before + n, number + 1
         if docs:
-            close()
-        if blocks:
-            head = zlib.compress(lengths.tobytes(), 6)
-            file = MAGIC + struct.pack("<QII", before, len(head), len(blocks)) + head + b"".join(struct.pack("<Q", len(b)) for b in blocks) + b"".join(blocks)
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([lowest], pa.int64()), pa.array([file], pa.large_binary()).cast(pa.binary())], ["part", "ids", "lowest", "file"])
-
-    ordered.mapInArrow(run, "part int, ids long, lowest long, file binary").write.option("compression", "uncompressed").parquet(path)
+            yield closed()
+
+    ordered.mapInArrow(run, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     discard(rows)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) from the files at path; start: ids of all documents before it."""
-    files = spark.read.schema("part int, ids long, lowest long, file binary").parquet(path)
-    held = files.select("part", "ids").orderBy("part").collect()  # one small row a file
+_BLOCKS = "part int, block int, first long, ids long, low long, high long, data binary"
+
+
+def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) from the archive at path; start: ids of all documents before it.
+
+    low, high: only documents with doc_id in these bounds; blocks without any are not read.
+    """
+    files = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
+    held = files.groupBy("part").agg(F.sum("ids").alias("ids")).orderBy("part").collect()  # MOST_PARTS small rows at most
     before = dict(zip((r.part for r in held), np.concatenate([[0], np.cumsum([r.ids for r in held])]).tolist(), strict=False))
+    shared = spark.sparkContext.broadcast((lengths_of(spark, path), before))  # one byte an id of the vocabulary, one number a part
+    wanted = files
+    if low is not None:
+        wanted = wanted.filter(F.col("high") >= low)
+    if high is not None:
+        wanted = wanted.filter(F.col("low") <= high)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths, before = shared.value
+        table, size, top = decode_table(lengths)
         for batch in it:
-            for part, file in zip(batch.column("part").to_pylist(), batch.column("file"), strict=True):
-                file = file.as_py()
-                if file[:6] != MAGIC:
-                    raise ValueError("not a token file")
-                _, head, n = struct.unpack_from("<QII", file, 6)
-                at = 22 + head
-                table, size, top = decode_table(np.frombuffer(zlib.decompress(file[22:at]), np.uint8))
-                long = struct.unpack_from(f"<{n}Q", file, at)
-                at += 8 * n
-                for b in long:
-                    first, docs, counts, ids = decode_block(file[at : at + b], table, size, top)
-                    at += b
-                    ends = np.cumsum(counts)
-                    start = before[part] + first + ends - counts
-                    raw = ids.astype("<u4").tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs), pa.array(start), pa.array(counts), pa.array([raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
-
-    return files.select("part", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+            for part, block in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
+                first, nulls, docs, counts, ids = decode_block(block.as_buffer().to_pybytes(), table, size, top)
+                ends = np.cumsum(counts)
+                raw = ids.astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs, mask=np.arange(len(docs)) < nulls), pa.array(before[part] + first + ends - counts), pa.array(counts), pa.array([raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())],
+                    ["doc_id", "start", "n_tokens", "ids"],
+                )
+
+    out = wanted.select("part", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    if low is not None:
+        out = out.filter(F.col("doc_id") >= low)
+    return out if high is None else out.filter(F.col("doc_id") <= high)
+
+
+def lengths_of(spark: SparkSession, path: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(spark.read.parquet(f"{path}/codes").first().lengths), np.uint8)
+
+
+def read_range(spark: SparkSession, path: str, doc_id: int, begin: int, end: int) -> list[np.ndarray]:
+    """Ids begin to end of each document with this id: its blocks alone are read, from the checkpoint before begin."""
+    table, size, top = decode_table(lengths_of(spark, path))
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").filter((F.col("low") <= doc_id) & (F.col("high") >= doc_id)).select("data")
+    out = []
+    for r in blocks.toLocalIterator():  # the blocks of one id
+        nulls, docs = _open_block(bytes(r.data))[1:3]
+        out += [decode_range(bytes(r.data), int(i), begin, end, table, size, top) for i in np.flatnonzero(docs == doc_id) if i >= nulls]
+    return out
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, path: str | None = None) -> DataFrame:
-    """Encode documents, write the files (into the shared folder unless path is given), read them back."""
-    import uuid
+    """Encode documents, write the archive (into the shared folder unless path is given), read it back.
 
+    (doc_id, start, n_tokens, ids) per row of docs; null texts are empty, null ids stay null and come first, extra
+    columns are ignored, an empty table gives an empty one.
+    """
     path = path or f"{work_dir(docs.sparkSession)}/rf-tokens-{uuid.uuid4().hex}"
     write_tokens(token_rows(docs, vocabulary, end_id, packed=True), path)
     return read_tokens(docs.sparkSession, path)

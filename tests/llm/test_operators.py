@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from rippleframe.llm import attribution, binary, components, exact, lm, packing, simhash, substring, tokens, toxicity, warc, winnow
 from rippleframe.llm.common import WS_LOWER, Words, word_hashes
@@ -169,15 +170,17 @@ def test_encoder_equals_library():
     rng = random.Random(4)
     parts = ["a", " ", "  ", "\n", "\t", "é", "'s", "1", "22", ".", "!?", " ", "　", "中", "\x1c", "don't", "_", "\r\n", "🙂", "²", "<|endoftext|>", "\x85", ",", "Word"]
     many = [t or "" for t in texts()] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    many += ["<|endoftext|>", "a <|endoftext|> b", " x<|endoftext|>  <|endoftext|>y z"]
     spans = tokens.offset_encoder(tokens.default_vocabulary()).spans(many)
+    fresh = Tokenizer.from_file(tokens.default_vocabulary())
     for t, ids, (a, b) in zip(many, e.encode_many(many), spans, strict=True):
-        whole = e.tokenizer.encode(t, add_special_tokens=False)
+        whole = fresh.encode(t, add_special_tokens=False)
         assert np.frombuffer(ids, "<u4").tolist() == whole.ids
         assert list(zip(a.tolist(), b.tolist(), strict=True)) == [tuple(x) for x in whole.offsets]
 
 
 def library_ids(text, end):
-    return tokens.encoder(tokens.default_vocabulary()).tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
+    return Tokenizer.from_file(tokens.default_vocabulary()).encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def test_packing(docs, odd, empty):
@@ -249,9 +252,12 @@ def test_huffman_block_and_limit():
         assert lengths.max() <= bits and (2.0 ** -lengths.astype(float)).sum() <= 1
         ids = rng.integers(0, n, 5000).astype(np.uint32)
         split = np.array([0, 1, 299, 700, 4000])
-        block = binary.encode_block(ids, np.arange(5), split, lengths, binary.canonical_codes(lengths), 9)
-        first, doc, counts_back, out = binary.decode_block(block, *binary.decode_table(lengths))
-        assert first == 9 and (out == ids).all() and (counts_back == split).all()
+        block = binary.encode_block(ids, np.arange(5), split, lengths, binary.canonical_codes(lengths), 9, 2)
+        first, nulls, doc, counts_back, out = binary.decode_block(block, *binary.decode_table(lengths))
+        assert (first, nulls) == (9, 2) and (out == ids).all() and (counts_back == split).all()
+        for d, begin, end in ((4, 0, 3), (4, 1000, 1300), (3, 255, 258), (2, 5, 9999), (0, 0, 4), (1, 0, 1)):
+            own = ids[split[:d].sum() :][: split[d]]
+            assert (binary.decode_range(block, d, begin, end, *binary.decode_table(lengths)) == own[begin:end]).all()
         with pytest.raises(ValueError):
             binary.decode_block(block[:-1] + bytes([block[-1] ^ 255]), *binary.decode_table(lengths))
 
@@ -278,7 +284,22 @@ def test_token_files(docs, odd, empty):
         ids = library_ids(text, 2)
         assert (rows[doc].start, rows[doc].n_tokens) == (at, len(ids)) and np.frombuffer(rows[doc].ids, "<u4").tolist() == ids
         at += len(ids)
-    assert binary.round_trip(odd).count() == odd.count() and binary.round_trip(empty).collect() == []
+    assert binary.round_trip(empty).collect() == []
+    got, want = binary.round_trip(odd).collect(), odd.collect()
+    assert sorted((r.doc_id is not None, r.doc_id, r.n_tokens, bytes(r.ids)) for r in got if r.doc_id is not None) == sorted((True, r.doc_id, len(x), np.array(x, "<u4").tobytes()) for r in want if r.doc_id is not None for x in [library_ids(r.text, 2)])
+    assert sorted(bytes(r.ids) for r in got if r.doc_id is None) == sorted(np.array(library_ids(r.text, 2), "<u4").tobytes() for r in want if r.doc_id is None)
+    assert all(r.start < 9 for r in got if r.doc_id is None)  # null ids come first
+
+
+def test_token_archive_access(docs, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary, "PART_IDS", 3000)
+    path = f"file://{tmp_path}/a"
+    whole = {r.doc_id: r for r in binary.round_trip(docs, path=path).collect()}
+    some = binary.read_tokens(spark, path, 30, 60).collect()
+    assert {r.doc_id for r in some} == {d for d in whole if 30 <= d <= 60} and all(r == whole[r.doc_id] for r in some)
+    d = max(whole, key=lambda d: whole[d].n_tokens)
+    (part,) = binary.read_range(spark, path, d, 700, 1900)
+    assert (part == np.frombuffer(whole[d].ids, "<u4")[700:1900]).all()
 
 
 def test_exact(docs, odd, empty, spark):
@@ -419,7 +440,7 @@ def test_toxicity(spark, empty):
 
 
 def test_attribution(docs, odd, empty):
-    tok = tokens.encoder(tokens.default_vocabulary()).tokenizer
+    tok = Tokenizer.from_file(tokens.default_vocabulary())
     for rule in attribution.RULES:
         rows = attribution.section_token_counts(docs, rule=rule).collect()
         by = {}
