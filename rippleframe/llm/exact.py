@@ -2,16 +2,19 @@
 
 The snapshot's digests are dealt to buckets by their first bits, and each bucket gets one binary fuse filter (Graf and
 Lemire, 2022), built once. Distinct digests of the incoming batch are screened in their bucket; only positives are
-joined with the snapshot's exact rows. Duplicates inside the new batch are grouped separately. Every digest that then
-has more than one row is checked byte by byte: equal digests with different normalised texts fail the job.
+joined with the snapshot's exact rows. Duplicates inside the new batch are grouped separately. The texts of every digest
+that then has more than one row are checked byte by byte: equal digests with different normalised texts fail the job.
+A bit table of fixed size, made of those digests, keeps other texts out of that check's shuffle.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from .common import materialize, mix64, text_or_empty
 
 #: Digests a filter bucket is sized for.
 BUCKET = 200_000
+#: Parts of the bit table of digests with more than one row, and bits of a part (8 MB together).
+SLICES, SLICE_BITS = 16, 1 << 22
 
 
 class BinaryFuse8:
@@ -122,6 +127,42 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return incoming.select(_bucket(buckets).alias("bucket"), "digest").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(test, "digest binary")
 
 
+def _bits(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Part and bit of each digest."""
+    h = np.frombuffer(b"".join(d[:8] for d in digests), ">u8") if digests else np.zeros(0, np.uint64)
+    return (h >> np.uint64(60)).astype(np.int64), ((h >> np.uint64(16)) & np.uint64(SLICE_BITS - 1)).astype(np.int64)
+
+
+def _repeated(groups: DataFrame):
+    """A test of digests that lets all digests of groups through and few others (more as the table fills)."""
+
+    def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in it:
+            part, bit = _bits(batch.column("digest").to_pylist())
+            for p in np.unique(part).tolist():
+                b = bit[part == p]
+                np.bitwise_or.at(held.setdefault(p, np.zeros(SLICE_BITS // 8, np.uint8)), b >> 3, (1 << (b & 7)).astype(np.uint8))
+        for p, table in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())], ["part", "table"])
+
+    first = F.conv(F.substring(F.hex("digest"), 1, 1), 16, 10).cast("int")
+    parts = groups.select("digest", first.alias("part"), F.pmod(F.xxhash64("digest"), F.lit(8)).alias("salt")).repartition("part", "salt").select("digest").mapInArrow(build, "part int, table binary")
+    tables = np.zeros((SLICES, SLICE_BITS // 8), np.uint8)
+    for r in parts.toLocalIterator():  # at most 8 * SLICES rows of fixed size
+        tables[r.part] |= np.frombuffer(zlib.decompress(r.table), np.uint8)
+    shared = groups.sparkSession.sparkContext.broadcast(zlib.compress(tables.tobytes(), 1))
+
+    @F.pandas_udf("boolean")
+    def test(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = np.frombuffer(zlib.decompress(shared.value), np.uint8).reshape(SLICES, -1)
+        for digests in parts:
+            part, bit = _bits(digests.tolist())
+            yield pd.Series((table[part, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0)
+
+    return test
+
+
 def exact_groups(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, keep_id, group_size, kept, digest) per row of docs.
 
@@ -134,7 +175,7 @@ def exact_groups(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col:
     snap = base.filter("snap").groupBy("digest").agg(F.count("*").alias("n"), _best().alias("best"))
     new = base.filter("not snap").groupBy("digest").agg(F.count("*").alias("n"), _best().alias("best"))
     snap, new = materialize(snap, "snap"), materialize(new, "new")
-    buckets = _buckets(snap.count())
+    buckets = _buckets(max(snap.count(), new.count()))  # a bucket's filter and the digests it screens stay small
     positive = screen(new, snapshot_filters(snap, buckets), buckets)
     both = positive.join(snap, "digest").select("digest", "n", "best")
     groups = (
@@ -144,7 +185,7 @@ def exact_groups(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col:
     )
     groups = materialize(groups.select("digest", "n", F.col("best.id").alias("keep_id")), "groups")
     # copies meet in the map-side half of this aggregate, so that no task gets all texts of a large group
-    texts = digests(docs, id_col, text_col).groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    texts = digests(docs, id_col, text_col).filter(_repeated(groups)("digest")).groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     fail = F.raise_error(F.lit("two texts share a digest")).cast("boolean")
     groups = materialize(texts.join(groups, "digest").filter(F.when(F.col("low") == F.col("high"), F.lit(True)).otherwise(fail)).select("digest", "n", "keep_id"), "checked")
     out = base.join(groups, "digest", "left")
