@@ -3,7 +3,7 @@
 Of every ``window - k + 1`` consecutive k-gram hashes the smallest are kept as fingerprints, on both sides, so any
 shared run of ``window`` words shares a fingerprint (Schleimer, Wilkerson and Aiken, 2003). Texts' fingerprints are
 screened by a bit table of fixed size made from the benchmark's, the rest are joined by hash and extended word by word
-to the shared run around them. Items shorter than a window are one window: their whole hash is the fingerprint, and
+to the shared run around them; equal passages of several items are one there. Items shorter than a window are one window: their whole hash is the fingerprint, and
 texts give their hashes of those few lengths as well.
 """
 
@@ -96,9 +96,9 @@ def _extend(it: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatc
                 if a + b < window:
                     continue
                 a = -a
-            for c, v in zip(out, (r["row"], r["item_id"], r["pos"] + a, r["pos"] + b), strict=True):
+            for c, v in zip(out, (r["row"], r["passage"], r["pos"] + a, r["pos"] + b), strict=True):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["row", "item_id", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["row", "passage", "start", "end"])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -112,7 +112,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     """
     spark = docs.sparkSession
     bench = _printed(items.select(F.col(item_col).cast("string").alias("id"), F.col("text").cast("string").alias("text")), window, [], None, True)
-    bench = materialize(bench.select("id", F.explode("prints").alias("p")).select("id", "p.*").distinct(), "items")
+    bench = bench.select("id", F.explode("prints").alias("p")).select("id", "p.*")
+    bench = bench.groupBy("h", "len", "before", "words").agg(F.collect_set("id").alias("ids"))  # a text at an item's print is held against each passage once
+    bench = materialize(bench.withColumn("passage", F.monotonically_increasing_id()), "items")
     short = sorted(r.len for r in bench.filter("len > 0").select("len").distinct().collect())  # fewer than window values
     word = F.shiftrightunsigned("h", 40)
     bits = bench.select(F.shiftright(word, 3).cast("int").alias("w"), F.expr("shiftleft(1, cast(shiftrightunsigned(h, 40) & 7 as int))").alias("b"))
@@ -123,10 +125,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     printed = _printed(rows, window, short, spark.sparkContext.broadcast(screen))
     printed = materialize(printed.withColumn("row", F.monotonically_increasing_id()), "prints")
     mine = printed.filter(F.size("prints") > 0).select("row", F.explode("prints").alias("p")).select("row", "p.*")
-    theirs = bench.select("h", "len", F.col("id").alias("item_id"), F.col("before").alias("item_before"), F.col("words").alias("item_words"))
-    pairs = mine.join(theirs, ["h", "len"]).select("row", "len", "pos", "before", "words", "item_id", "item_before", "item_words")
-    hits = pairs.mapInArrow(lambda it: _extend(it, window), "row long, item_id string, start int, end int").distinct()
-    per = hits.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    theirs = bench.select("h", "len", "passage", F.col("before").alias("item_before"), F.col("words").alias("item_words"))
+    pairs = mine.join(theirs, ["h", "len"]).select("row", "len", "pos", "before", "words", "passage", "item_before", "item_words")
+    hits = pairs.mapInArrow(lambda it: _extend(it, window), "row long, passage long, start int, end int").distinct()
+    items_of = bench.select("passage", "ids")
+    ids = hits.select("row", "passage").distinct().join(items_of, "passage").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"))
+    per = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")).join(ids, "row")
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
     covered = F.aggregate("spans", start, lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["to"]))).alias("n"), F.greatest(acc["to"], s["end"]).alias("to")))["n"]
     out = printed.select("row", "id", "n_words").join(per.select("row", "item_ids", "spans", covered.alias("n_hit")), "row", "left")
