@@ -1,17 +1,19 @@
 """Best-fit packing of token pieces into fixed-size sequences, planned on the histogram of piece lengths.
 
 The plan needs only how many pieces there are of each length (at most ``capacity`` numbers), so it is made on the
-driver for any corpus. Best-fit decreasing gives the first incumbent. Bin completion then branches on the fillings of
-a sequence around the largest piece left: fillings that a single larger piece could replace are dominated and not
-tried, a filling is applied to as many sequences as the counts allow, a branch ends when its waste exceeds what a
-better solution may waste, and at every branch best-fit decreasing of what is left may give a new incumbent. The
-search ends at the lower bound or after ``nodes`` branches (a documented bound on driver time, not on the input).
+driver for any corpus. Best-fit decreasing gives the first incumbent. Bin completion (Korf, 2002) then branches on the
+fillings of a sequence around the largest piece left: a filling may waste no more than a better solution could still
+waste, and reachable sums of the pieces left (bits of one number) lead the enumeration to such fillings alone, of any
+number of pieces; those that another filling dominates are not tried. A filling is applied to as many sequences as the
+counts allow, and at every branch best-fit decreasing of what is left may give a new incumbent. The search ends at the
+lower bound, when nothing is left to try, or after ``work`` distinct lengths handled in branches (a bound on driver
+time of some seconds, not on the input).
 Pieces are then dealt to the planned places by their rank within their length, on the executors.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,70 +77,103 @@ def best_fit(counts: dict[int, int], cap: int) -> Plan:
     return [(n, f) for g in groups.values() for n, f in g]
 
 
-def _fillings(sizes: list[int], counts: dict[int, int], room: int, width: int) -> list[tuple[tuple[int, ...], int]]:
-    """Undominated fillings of room with at most three pieces, least waste first."""
-    fits = sizes[: bisect_right(sizes, room)]
-    if not fits:
-        return [((), room)]
-    found = {(fits[-1],): room - fits[-1]}
-    most = fits[-1]
-    for x in reversed(fits):
-        y_most = min(x, room - x)
-        i = bisect_right(fits, y_most) - 1
-        while i >= 0 and fits[i] == x and counts[x] < 2:
-            i -= 1
-        if i < 0 or x + fits[i] <= most:
-            if 2 * x <= most and x < fits[0] * 2:
-                break
+def _sums(sizes: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For each i the sums up to room that pieces of sizes[i:] reach, as bits of a number."""
+    mask, out, reach = (1 << (room + 1)) - 1, [1], 1
+    for s in reversed(sizes):
+        n, step = min(counts[s], room // s), 1
+        while n > 0:
+            k = min(n, step)
+            reach |= (reach << k * s) & mask
+            n, step = n - k, 2 * step
+        out.append(reach)
+    return out[::-1]
+
+
+def fillings(counts: dict[int, int], room: int, waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Fillings of room that leave at most waste of it, least first, then by their largest pieces; each with what it leaves."""
+    sizes = sorted((s for s in counts if s <= room), reverse=True)
+    reach = _sums(sizes, counts, room)
+
+    def exact(i: int, left: int) -> Iterator[tuple[int, ...]]:
+        if not left:
+            yield ()
+            return
+        while i < len(sizes) and reach[i] >> left & 1:
+            s = sizes[i]
+            for n in range(min(counts[s], left // s), 0, -1):
+                if reach[i + 1] >> (left - n * s) & 1:
+                    for rest in exact(i + 1, left - n * s):
+                        yield (s,) * n + rest
+            i += 1
+
+    for lost in range(min(waste, room) + 1):
+        if reach[0] >> (room - lost) & 1:
+            for filling in exact(0, room - lost):
+                yield filling, lost
+
+
+def dominates(one: tuple[int, ...], other: tuple[int, ...]) -> bool:
+    """Whether the pieces of other fit into those of one, each piece of one taking any number of them (Martello and Toth)."""
+    free = sorted(one)
+
+    def fit(i: int) -> bool:
+        if i == len(other):
+            return True
+        for j in range(len(free)):
+            if free[j] >= other[i] and (not j or free[j] != free[j - 1]):
+                free[j] -= other[i]
+                if fit(i + 1):
+                    return True
+                free[j] += other[i]
+        return False
+
+    return sum(other) <= sum(one) and fit(0)
+
+
+def _branches(left: dict[int, int], cap: int, waste: int) -> Iterator[tuple[dict[int, int], int]]:
+    """Undominated fillings around the largest piece left, with what they lose."""
+    big = max(left)
+    after = {s: n - (s == big) for s, n in left.items() if n > (s == big)}
+    tried: list[tuple[int, ...]] = []
+    for filling, lost in fillings(after, cap - big, waste):
+        if len(filling) <= 8 and any(len(t) <= len(filling) and dominates(t, filling) for t in tried[-64:]):
             continue
-        y = fits[i]
-        found[(x, y)] = room - x - y
-        rest = room - x - y
-        j = bisect_right(fits, min(y, rest)) - 1
-        while j >= 0 and counts[fits[j]] < 1 + (fits[j] == x) + (fits[j] == y):
-            j -= 1
-        if j >= 0:
-            found[(x, y, fits[j])] = rest - fits[j]
-            if rest == fits[j]:
-                del found[(x, y)]
-        if len(found) > 60:
-            break
-    return sorted(found.items(), key=lambda f: (f[1], len(f[0]), [-s for s in f[0]]))[:width]
-
-
-def complete_bins(counts: dict[int, int], cap: int, nodes: int = 200, width: int = 4) -> Plan:
+        tried.append(filling)
+        need = {big: 1}
+        for s in filling:
+            need[s] = need.get(s, 0) + 1
+        yield need, lost
+
+
+def complete_bins(counts: dict[int, int], cap: int, work: int = 2_000_000) -> Plan:
     """Bin completion over a histogram; counts: pieces of each length, 1 to cap."""
     counts = {s: n for s, n in counts.items() if n}
     total = sum(s * n for s, n in counts.items())
     best = best_fit(counts, cap)
     least, used = lower_bound(counts, cap), sum(n for n, _ in best)
-    stack: list[tuple[dict[int, int], Plan, int]] = [(counts, [], 0)]
-    while stack and used > least and nodes > 0:
-        nodes -= 1
-        left, plan, waste = stack.pop()
-        if waste > (used - 1) * cap - total:
-            continue
-        begun = sum(n for n, _ in plan)
-        rest = best_fit(left, cap)
-        if begun + sum(n for n, _ in rest) < used:
-            best, used = plan + rest, begun + sum(n for n, _ in rest)
-        if not left:
+    if used <= least:
+        return best
+    # a frame: what is left, the plan so far, its sequences, its waste, branches not tried yet
+    stack = [(counts, [], 0, 0, _branches(counts, cap, (used - 1) * cap - total))]
+    while stack and used > least and work > 0:
+        left, plan, begun, waste, branches = stack[-1]
+        step = next(branches, None)
+        if step is None or waste + step[1] > (used - 1) * cap - total:
+            stack.pop()
             continue
-        sizes = sorted(left)
-        big = sizes[-1]
-        after = dict(left)
-        after[big] -= 1
-        if not after[big]:
-            del after[big]
-        children = []
-        for filling, lost in _fillings(sorted(after), after, cap - big, width):
-            need: dict[int, int] = {}
-            for s in (big, *filling):
-                need[s] = need.get(s, 0) + 1
-            times = min(left[s] // k for s, k in need.items())
-            child = {s: n for s, n in ((s, n - times * need.get(s, 0)) for s, n in left.items()) if n}
-            children.append((child, [*plan, (times, tuple(sorted(need.items(), reverse=True)))], waste + lost * times))
-        stack += reversed(children)
+        work -= len(left) + 1
+        need, lost = step
+        times = min(left[s] // k for s, k in need.items())
+        if lost:
+            times = min(times, ((used - 1) * cap - total - waste) // lost)
+        child = {s: n for s, n in ((s, n - times * need.get(s, 0)) for s, n in left.items()) if n}
+        new, first, lost = [*plan, (times, tuple(sorted(need.items(), reverse=True)))], begun + times, waste + lost * times
+        rest = best_fit(child, cap)
+        if first + sum(n for n, _ in rest) < used:
+            best, used = new + rest, first + sum(n for n, _ in rest)
+        if child and lost <= (used - 1) * cap - total:
+            stack.append((child, new, first, lost, _branches(child, cap, (used - 1) * cap - total - lost)))
     return best
 
 
@@ -200,24 +235,28 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     p = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     held = p.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()  # at most capacity * salts rows
     counts: dict[int, int] = {}
-    bases: dict[int, np.ndarray] = {}
-    for length, salt, n in sorted(map(tuple, held)):
-        bases.setdefault(length, np.zeros(salts, np.int64))[salt] = counts.get(length, 0)
+    for length, _, n in held:
         counts[length] = counts.get(length, 0) + n
+    lines = np.zeros(capacity + 1, np.int64)  # of each length, its line in bases: pieces of the length under smaller salts
+    lines[[s for s in counts if s <= capacity]] = np.arange(sum(s <= capacity for s in counts))
+    bases = np.zeros((max(len(counts), 1), salts), np.int64)
+    for length, salt, n in held:
+        if length <= capacity and salt + 1 < salts:
+            bases[lines[length], salt + 1] = n
+    bases = np.cumsum(bases, axis=1)
     if any(not 1 <= s <= capacity for s in counts):
         raise ValueError("piece lengths must be 1 to capacity")
     places = Places(complete_bins(counts, capacity))
-    shared = pieces.sparkSession.sparkContext.broadcast((places, bases))  # bounded by capacity * salts numbers
+    shared = pieces.sparkSession.sparkContext.broadcast((places, lines, bases))  # bounded by capacity * salts numbers
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start")
     fields = [f for f in pieces.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, bases = shared.value
+        places, lines, bases = shared.value
         for batch in it:
             size, salt, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_salt", "_rank"))
-            base = np.array([bases[s][t] for s, t in zip(size.tolist(), salt.tolist(), strict=True)], np.int64)
-            seq, offset = places.of(size, base + rank - 1)
+            seq, offset = places.of(size, bases[lines[size], salt] + rank - 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(seq), pa.array(offset)], [*(f.name for f in fields), "sequence_id", "offset"])
 
     return p.withColumn("_rank", F.row_number().over(order)).mapInArrow(run, schema + ", sequence_id long, offset long")

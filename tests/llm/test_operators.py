@@ -241,7 +241,32 @@ def test_bin_completion_against_search():
             for s, k in filling:
                 got[s] = got.get(s, 0) + n * k
         assert got == counts
-        assert packing.lower_bound(counts, cap) <= fewest(sizes, cap) <= sum(n for n, _ in plan) <= fewest(sizes, cap) + (len(sizes) > 8)
+        assert packing.lower_bound(counts, cap) <= fewest(sizes, cap) == sum(n for n, _ in plan)
+
+
+def test_bin_completion_beats_best_fit_on_cut_up_sequences():
+    rng = random.Random(1)
+    for n, k, low, high in ((10, 3, 1, 2048), (20, 4, 1, 2048), (40, 5, 342, 511), (15, 3, 500, 900)):
+        for _ in range(3):
+            counts = {}
+            for _ in range(n):
+                parts = []
+                while not parts or not all(low <= x <= high for x in parts):
+                    cuts = [0, *sorted(rng.randint(1, 2047) for _ in range(k - 1)), 2048]
+                    parts = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
+                for x in parts:
+                    counts[x] = counts.get(x, 0) + 1
+            used = [sum(m for m, _ in plan) for plan in (packing.best_fit(counts, 2048), packing.complete_bins(counts, 2048))]
+            assert used[0] > used[1] == n
+
+
+def test_fillings():
+    counts = {60: 1, 25: 1, 20: 3, 7: 2}
+    every = {tuple(sorted((60,) * a + (25,) * b + (20,) * c + (7,) * d, reverse=True)) for a in range(2) for b in range(2) for c in range(4) for d in range(3)}
+    got = list(packing.fillings(counts, 100, 15))
+    assert {f for f, _ in got} == {f for f in every if 85 <= sum(f) <= 100} and len(got) == len({f for f, _ in got})
+    assert got[0] == ((60, 20, 20), 0) and [w for _, w in got] == sorted(w for _, w in got)
+    assert packing.dominates((60, 20, 20), (60, 25)) is False and packing.dominates((60, 25), (60, 20)) and packing.dominates((60,), (25, 20, 7))
 
 
 def test_huffman_block_and_limit():
