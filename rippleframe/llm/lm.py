@@ -5,10 +5,11 @@ classes of the two words on either side and predicts the class in between; a wor
 of the class's occurrences in the corpus. The sum of these conditional log-probabilities scores a document.
 
 Class tables come from counts over all documents; the counts of all words stay a partitioned table, which the words of
-the documents are joined with. The network is trained in rounds: each task starts from the shared weights, takes gradient
-steps over every ROUNDS-th place of all its documents, other places each round, so that every place is a target once;
-the tasks' weights are averaged block by block, weighted by their places, without passing through the driver before they
-are one set.
+the documents are joined with. Texts become byte strings of classes, dealt by a hash to blocks of about BLOCK_WORDS words
+and ordered inside a block, so that training depends on the rows alone and not on how they lie in partitions or which
+executors were lost. The network is trained in rounds: each block starts from the shared weights and takes gradient
+steps over every ROUNDS-th place of its documents, other places each round, so that every place is a target once; the
+blocks' weights are averaged, weighted by their places, as whole numbers, whose sums do not depend on their order.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ FREQUENT, HASHED, SIDE, WIDTH, HIDDEN = 191, 64, 2, 12, 24
 EDGE = FREQUENT + HASHED
 CLASSES = EDGE + 1
 ROUNDS, BATCH, RATE = 2, 2048, 0.5
-_BLOCK = 1024
+BLOCK_WORDS, RUN_WORDS = 2_000_000, 1 << 16
+#: Weights are averaged as multiples of 2**-24, shares of words as multiples of 2**-30.
+FINE, SHARE = float(1 << 24), float(1 << 30)
+_LINE = 1024
 
 
 @dataclass
@@ -163,17 +167,39 @@ def build_vocabulary(rows: DataFrame) -> tuple[Vocabulary, DataFrame]:
     return Vocabulary(frequent, total, prior), words
 
 
-def _places(w: Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """The classes of all words and of their neighbours, EDGE beyond the ends of a text."""
-    own = vocabulary.classes(word_hashes(w))
-    doc = w.doc()
-    context = np.full((w.n, 2 * SIDE), EDGE, np.int64)
+def class_rows(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(block, row, id, classes) of rows (id, text, row): a byte a word, sorted by block, row, id and classes."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)  # fixed size
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for part in slices(batch, "text"):
+                w = Words(part.column("text"), WS_LOWER)
+                own = shared.value.classes(word_hashes(w)).astype(np.uint8).tobytes()
+                first = w.first.tolist()
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array([own[a:b] for a, b in zip(first, first[1:], strict=False)], pa.binary())], ["row", "id", "classes"])
+
+    blocks = max(1, round(float(vocabulary.total.sum()) / BLOCK_WORDS))
+    out = rows.select("row", "id", "text").mapInArrow(run, "row long, id long, classes binary").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    return materialize(out.repartition("block").sortWithinPartitions("block", "row", "id", "classes"), "classes")
+
+
+def _contexts(own: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The classes of each place's neighbours, EDGE beyond the ends of a text."""
+    n = len(own)
+    context = np.full((n, 2 * SIDE), EDGE, np.int64)
     for j, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        a, b = max(0, -d), w.n - max(0, d)
+        a, b = max(0, -d), n - max(0, d)
         if b > a:
             same = doc[a:b] == doc[a + d : b + d]
             context[a:b, j][same] = own[a + d : b + d][same]
-    return own, context
+    return context
+
+
+def _joined(classes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all places of some texts and the number of each place's text."""
+    own = np.frombuffer(b"".join(classes), np.uint8).astype(np.int64)
+    return own, np.repeat(np.arange(len(classes)), [len(c) for c in classes])
 
 
 def targets(n: int, r: int, rounds: int = ROUNDS) -> Iterator[slice]:
@@ -183,31 +209,54 @@ def targets(n: int, r: int, rounds: int = ROUNDS) -> Iterator[slice]:
             yield slice(a + r, a + BATCH * rounds, rounds)
 
 
-def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """Each round every rounds-th place of all documents is a target, others each round."""
+def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
+    """Trains on class_rows(): each round every rounds-th place of all documents is a target, others each round."""
     flat = Network.start(vocabulary.prior).flat()
     for r in range(rounds):
-        shared = rows.sparkSession.sparkContext.broadcast((flat, vocabulary))  # fixed size
+        shared = texts.sparkSession.sparkContext.broadcast(flat)  # fixed size
 
         def run(it: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
-            flat, vocabulary = shared.value
-            net, seen = Network.of(flat), 0
+            sums, places = np.zeros(len(shared.value), object), 0  # whole numbers of any size
+            net, seen, block, held, words = None, 0, None, [], 0
+
+            def steps():
+                nonlocal seen, held, words
+                own, doc = _joined(held)
+                context = _contexts(own, doc)
+                for at in targets(len(own), r, rounds):
+                    net.step(context[at], own[at], RATE / (1 + r))
+                    seen += len(own[at])
+                held, words = [], 0
+
+            def closed():
+                nonlocal places
+                if held:
+                    steps()
+                if seen:
+                    sums[:] += np.rint(net.flat().astype(np.float64) * FINE).astype(np.int64).astype(object) * seen
+                    places += seen
+
             for batch in it:
-                for part in slices(batch, "text"):
-                    w = Words(part.column("text"), WS_LOWER)
-                    own, context = _places(w, vocabulary)
-                    for at in targets(len(own), r, rounds):
-                        net.step(context[at], own[at], RATE / (1 + seen / 2_000_000))
-                        seen += len(own[at])
-            if seen:
-                new = net.flat().astype(np.float64) * seen
-                blocks = [new[a : a + _BLOCK] for a in range(0, len(new), _BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([seen] * len(blocks), pa.int64()), pa.array(blocks, pa.list_(pa.float64()))], ["block", "seen", "sums"])
-
-        parts = rows.mapInArrow(run, "block int, seen long, sums array<double>")
-        means = parts.select("block", "seen", F.posexplode("sums").alias("at", "v")).groupBy("block", "at").agg((F.sum("v") / F.sum("seen")).alias("v")).orderBy("block", "at").collect()
+                for b, classes in zip(batch.column("block").to_pylist(), batch.column("classes").to_pylist(), strict=True):
+                    if b != block:
+                        if block is not None:
+                            closed()
+                        net, seen, block, held, words = Network.of(shared.value), 0, b, [], 0
+                    held.append(classes)
+                    words += len(classes)
+                    if words >= RUN_WORDS:
+                        steps()
+            if block is not None:
+                closed()
+            if places:
+                lines = [sums[a : a + _LINE].tolist() for a in range(0, len(sums), _LINE)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(lines)), pa.int32()), pa.array([places] * len(lines), pa.int64()), pa.array([[str(x) for x in line] for line in lines], pa.list_(pa.string()))], ["line", "places", "sums"])
+
+        whole = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+        parts = texts.select("block", "classes").mapInArrow(run, "line int, places long, sums array<string>")
+        means = parts.select("line", "places", F.posexplode("sums").alias("at", "v")).groupBy("line", "at").agg(whole("v").alias("v"), F.sum("places").alias("n")).orderBy("line", "at").collect()  # one row a weight
         if means:
-            flat = np.array([m.v for m in means], np.float32)
+            flat = np.array([int(m.v) / m.n / FINE for m in means], np.float32)
     return Network.of(flat)
 
 
@@ -234,37 +283,38 @@ def _rare(rows: DataFrame, words: DataFrame, vocabulary: Vocabulary) -> DataFram
     total = F.array(*(F.lit(float(x)) for x in np.log(np.maximum(vocabulary.total[FREQUENT:EDGE], 1))))
     share = words.select("h", (F.log("n") - F.element_at(total, (F.pmod(F.shiftrightunsigned("h", 33), F.lit(HASHED)) + 1).cast("int"))).cast("float").alias("share"))
     uses = rows.mapInArrow(run, "row long, h long, k int")
-    return uses.join(share.hint("merge"), "h").groupBy("row").agg(F.sum(F.col("k") * F.col("share").cast("double")).alias("rare"))
+    part = F.rint(F.col("k") * F.col("share").cast("double") * SHARE).cast("long")  # whole numbers add up alike in any order
+    return uses.join(share.hint("merge"), "h").groupBy("row").agg((F.sum(part) / SHARE).alias("rare"))
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_likelihood, mean_log_likelihood) per row of docs.
 
-    Words are lower-cased (A-Z) runs without ASCII white space. Null or wordless texts score 0.0 with a null mean.
+    Words are lower-cased (A-Z) runs without ASCII white space. Scores have four digits: the network's part of a text is
+    added up from single-precision numbers, whose last digits depend on the batch a text is scored in. Null or wordless texts score 0.0 with a null mean.
     Repeated rows each get a row; extra columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    vocabulary, words = build_vocabulary(rows)
-    net = train(rows, vocabulary)
-    shared = rows.sparkSession.sparkContext.broadcast((net.flat(), vocabulary))  # fixed size
-    rows = rows.withColumn("row", F.xxhash64("id", "text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    vocabulary, words = build_vocabulary(rows.select("text"))
+    texts = class_rows(rows, vocabulary)
+    net = train(texts, vocabulary)
+    shared = rows.sparkSession.sparkContext.broadcast(net.flat())  # fixed size
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, vocabulary = shared.value
-        net = Network.of(flat)
+        net = Network.of(shared.value)
         table = net.table()
         for batch in it:
-            for part in slices(batch, "text"):
-                w = Words(part.column("text"), WS_LOWER)
-                own, context = _places(w, vocabulary)
+            for part in slices(batch, "classes", 1 << 19):
+                classes = part.column("classes").to_pylist()
+                own, doc = _joined(classes)
+                context = _contexts(own, doc)
                 lp = np.concatenate([net.log_probs(context[a : a + 1024], own[a : a + 1024], table) for a in range(0, len(own), 1024)]) if len(own) else np.zeros(0)
-                total = np.concatenate([[0.0], np.cumsum(lp.astype(np.float64))])
-                n = np.diff(w.first)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(n.astype(np.int64)), pa.array(total[w.first[1:]] - total[w.first[:-1]])], ["row", "id", "n_words", "score"])
+                score = np.bincount(doc, lp.astype(np.float64), len(classes))
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array([len(c) for c in classes], pa.int64()), pa.array(np.round(score, 4))], ["row", "id", "n_words", "score"])
 
-    scored = rows.mapInArrow(run, "row long, id long, n_words long, score double")
+    scored = texts.select("row", "id", "classes").mapInArrow(run, "row long, id long, n_words long, score double")
     rare = _rare(rows, words, vocabulary).withColumnRenamed("row", "_row")
     times = F.count("*").over(Window.partitionBy("row"))
     both = scored.withColumn("times", times).join(rare, F.col("row") == F.col("_row"), "left")
-    log = F.col("score") + F.coalesce(F.col("rare") / F.col("times"), F.lit(0.0))
+    log = F.round(F.col("score") + F.coalesce(F.col("rare") / F.col("times"), F.lit(0.0)), 4)
     return both.select("id", "n_words", log.alias("log_likelihood")).withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

@@ -146,7 +146,7 @@ def _branches(left: dict[int, int], cap: int, waste: int) -> Iterator[tuple[dict
         yield need, lost
 
 
-def complete_bins(counts: dict[int, int], cap: int, work: int = 2_000_000) -> Plan:
+def complete_bins(counts: dict[int, int], cap: int, work: int = 500_000) -> Plan:
     """Bin completion over a histogram; counts: pieces of each length, 1 to cap."""
     counts = {s: n for s, n in counts.items() if n}
     total = sum(s * n for s, n in counts.items())

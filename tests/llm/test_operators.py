@@ -1,6 +1,7 @@
 """Operators against plain Python on a messy fixture."""
 
 import base64
+import collections
 import hashlib
 import random
 import re
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
@@ -634,3 +636,35 @@ def test_long_texts(spark):
     assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == {1, 2, 4}
     items = spark.createDataFrame([(1, " ".join(words[500:540]))], "item_id long, text string")
     assert {r.id: r.n_hit >= 40 for r in winnow.decontaminate(docs, items).collect()} == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_pseudo_likelihood_against_plain_sums(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_WORDS", 1500)
+    monkeypatch.setattr(lm, "RUN_WORDS", 400)
+    got = {r.id: r.log_likelihood for r in lm.pseudo_likelihood(docs).collect()}
+    again = {r.id: r.log_likelihood for r in lm.pseudo_likelihood(docs.repartition(1)).collect()}
+    assert all(abs(got[i] - again[i]) <= 2e-4 for i in got)
+    rows = docs.select("text", "doc_id").withColumnRenamed("doc_id", "id").withColumn("row", F.xxhash64("id", "text"))
+    vocabulary, _ = lm.build_vocabulary(rows.select("text"))
+    nets = [lm.train(lm.class_rows(x, vocabulary), vocabulary) for x in (rows, rows.repartition(7))]
+    assert (nets[0].flat() == nets[1].flat()).all()
+    net, words = nets[0], {d: plain_words(t) for d, t, *_ in ROWS}
+    counts = collections.Counter(x for w in words.values() for x in w)
+    hashes = dict(zip(counts, (word_hashes(Words(pa.array([x]), WS_LOWER))[0] for x in counts), strict=True))
+    of = {x: int(vocabulary.classes(np.array([h]))[0]) for x, h in hashes.items()}
+    size = collections.Counter()
+    for x, n in counts.items():
+        size[of[x]] += n
+    for d, w in words.items():
+        total = 0.0
+        for i, x in enumerate(w[:400]):
+            side = [of[w[j]] if 0 <= j < len(w) else lm.EDGE for j in (i - 2, i - 1, i + 1, i + 2)]
+            h = np.tanh(np.concatenate([net.embed[c] for c in side]) @ net.hidden + net.hidden_bias)
+            z = (h @ net.out + net.out_bias).astype(float)
+            total += z[of[x]] - np.log(np.exp(z).sum()) + np.log(counts[x] / size[of[x]])
+        if len(w) <= 400:
+            assert abs(got[d] - total) < 1e-3 * max(1, len(w) / 10), d
+
+
+def plain_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
