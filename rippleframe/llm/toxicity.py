@@ -207,6 +207,18 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
+def known(labels: DataFrame) -> DataFrame:
+    """(id, toxic) of the rows that may be learned from."""
+    return labels.filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
+
+
+def toxic_rows(docs: DataFrame, labels: DataFrame, key: str, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The values of docs' long column key whose texts score 0.5 or more; the rest as score_documents()."""
+    model = fit(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), known(labels), train_rows)
+    scored = score(docs.select(F.col(key).alias("id"), F.col("text").cast("string").alias("text")), model)
+    return scored.filter("score >= 0.5").select(F.col("id").alias(key)).distinct()
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted, passages), one row per row of docs; fitted on labels outside the held-out rows.
 
@@ -214,6 +226,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     are ignored and repeated rows each get a row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    known = labels.filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
-    out = score(rows, fit(rows, known, train_rows))
+    out = score(rows, fit(rows, known(labels), train_rows))
     return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
