@@ -9,35 +9,46 @@ from rippleframe.llm.common import materialize, table
 from rippleframe.llm.exact import exact_dedup
 from rippleframe.llm.packing import pack_pieces, token_pieces
 from rippleframe.llm.simhash import near_dedup
-from rippleframe.llm.toxicity import score_documents
+from rippleframe.llm.toxicity import toxic_rows
 from rippleframe.llm.winnow import decontaminate
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row's id and text, as ids may be null or repeat; rows that repeat both are judged alike."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
-    scored = score_documents(docs, table(spark, sf_dir, "labels"))
-    return docs.join(scored.filter("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows predicted toxic go; null and wordless texts hold no passage and stay. Fitted on labelled rows outside the held-out ids."""
+    rows = _rows(docs)
+    return rows.join(toxic_rows(rows, table(spark, sf_dir, "labels"), "_row"), "_row", "left_anti").select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the most code points stays."""
+    """Of texts equal without ASCII white space the one with the most code points, then the smallest id, stays; null counts as empty.
+
+    Decided by id and text: another text of a dropped id stays, and rows that repeat the kept id and text all stay.
+    """
     return exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies over five-word shingles one document stays."""
+    """Of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more the smallest id stays.
+
+    Texts without words are equal; a null id counts as the largest; rows that repeat id and text stay or go together.
+    """
     return near_dedup(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))  # ids may be null or repeat
+    """Rows with a passage of a benchmark item go; null and wordless texts stay."""
+    rows = _rows(docs)
     hit = decontaminate(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("id").alias("_row")).distinct()
     return rows.join(hit, "_row", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 2048."""
+    """Token pieces of every row with their places in sequences of 2048; a null or empty text is its end token."""
     pieces = token_pieces(docs)
     return pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
