@@ -46,8 +46,8 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 
 #: near_dedup(): words in a shingle, least Jaccard similarity, and the part fingerprints (BANDS of ROWS least hashes each).
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 5
-#: Postings of part fingerprints with more rows meet through pivots first; then pairs still apart whose sketches agree in LIKELY.
-WHOLE, CHUNK, LIKELY = 16, 2048, 0.68
+#: Postings of part fingerprints with more rows meet through pivots first; then pairs still apart whose sketches of BINS bytes say LIKELY or more.
+WHOLE, CHUNK, BINS, LIKELY = 16, 2048, 512, 0.74
 _DRAW = np.random.default_rng(20250117)
 _TIMES = _DRAW.integers(0, 2**31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _DRAW.integers(0, 2**32, BANDS * ROWS).astype(np.uint32)
@@ -235,20 +235,19 @@ def shingle_sets(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(of, np.arange(docs + 1))
 
 
-def _parts(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """BANDS part fingerprints per text, each the hash of the ROWS shingles that come first in ROWS fixed random orders, and a byte of each of these as the text's sketch."""
+def _parts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """BANDS part fingerprints per text: each the hash of the ROWS shingles that come first in ROWS fixed random orders."""
     docs = len(first) - 1
     full = np.flatnonzero(np.diff(first) > 0)
-    out, sketch = np.zeros((docs, BANDS), np.uint64), np.zeros((docs, BANDS * ROWS), np.uint8)
+    out = np.zeros((docs, BANDS), np.uint64)
     low = (h >> np.uint64(32)).astype(np.uint32)
     for b in range(BANDS):
         key = np.full(len(full), b + 1, np.uint64)
         for r in range(b * ROWS, (b + 1) * ROWS):
             least = np.minimum.reduceat(low * _TIMES[r] + _PLUS[r], first[full]) if len(full) else np.zeros(0, np.uint32)
             key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least)
-            sketch[full, r] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
         out[full, b] = key
-    return out, sketch
+    return out
 
 
 def _views(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +255,8 @@ def _views(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text", 1 << 20):
             w = Words(part.column("text"), WS_LOWER)
             fp = _fingerprints(w, w.joined() if w.n else None, SHINGLE, 42)
-            keys, sketch = _parts(*shingle_sets(w))
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("id"), pa.array(fp.view(np.int64)), keys, pa.array([x.tobytes() for x in sketch], pa.binary())], ["node", "id", "fp", "keys", "sketch"])
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(_parts(*shingle_sets(w)).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("id"), pa.array(fp.view(np.int64)), keys], ["node", "id", "fp", "keys"])
 
 
 def _packed_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,46 +292,97 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _across(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, chunk), asking rows first: pairs of an asking and another row of different roots with sketches that agree in LIKELY."""
+def _profiles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed shingle hashes (ascending) and part fingerprints to a sketch, a byte of the least hash in each of BINS ranges (0: none), and the packed parts."""
+    for batch in it:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+        out = np.zeros((len(sets), BINS), np.uint8)
+        for i, h in enumerate(sets):
+            at = (h >> np.uint64(55)).astype(np.int64)
+            new = np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]
+            out[i, at[new]] = h[new] % np.uint64(255) + np.uint64(1)
+        parts = [np.array(k, np.int64).tobytes() for k in batch.column("keys").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in out], pa.binary()), pa.array(parts, pa.binary())], ["node", "sketch", "parts"])
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated similarity of each sketch in x with each in y."""
+    same, either = (np.zeros((len(x), len(y)), np.int32) for _ in range(2))
+    for c in range(0, BINS, 16):  # few bytes at a time keep the work arrays small
+        p, q = x[:, None, c : c + 16], y[None, :, c : c + 16]
+        some = (p | q) > 0
+        either += some.sum(axis=2, dtype=np.int32)
+        same += ((p == q) & some).sum(axis=2, dtype=np.int32)
+    return same / np.maximum(either, 1)
+
+
+def _across(it: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, chunk), asking rows first: pairs of an asking and another row of different roots whose sketches say LIKELY.
+
+    A pair goes on only from the first of its common postings; best: of each asking row only the likeliest pair, if it
+    is likely a link.
+    """
     asking: list[tuple] = []
     at = None
 
     for batch in it:
         key, chunk, asks, node, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "chunk", "asks", "node", "root"))
-        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        parts = np.frombuffer(b"".join(batch.column("parts").to_pylist()), np.int64).reshape(-1, BANDS)
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])])) if len(key) else np.zeros(0, np.int64)
         for a, b in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist(), strict=True):
             if at != (key[a], chunk[a]):
                 at, asking = (key[a], chunk[a]), []
             ask, own = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
             if len(ask):
-                asking.append((node[ask], root[ask], sketch[ask]))
+                asking.append((node[ask], root[ask], sketch[ask], parts[ask]))
             if not asking or not len(own):
                 continue
-            n, r, s = (np.concatenate(x) for x in zip(*asking, strict=True))
-            for i in range(0, len(n), 64):
-                alike = np.zeros((len(n[i : i + 64]), len(own)), np.int16)
-                for c in range(0, BANDS * ROWS, 8):  # eight bytes at a time keep the work array small
-                    alike += (s[i : i + 64, None, c : c + 8] == sketch[None, own, c : c + 8]).sum(axis=2, dtype=np.int16)
-                x, y = np.nonzero((alike >= LIKELY * BANDS * ROWS) & (r[i : i + 64, None] != root[None, own]))
+            n, r, s, k = (np.concatenate(x) for x in zip(*asking, strict=True))
+            for i in range(0, len(n), 32):
+                alike = np.where(r[i : i + 32, None] != root[None, own], _alike(s[i : i + 32], sketch[own]), 0.0)
+                if best:
+                    x, y = np.arange(len(alike)), alike.argmax(axis=1)
+                    ok = alike[x, y] >= SIMILAR
+                    x, y = x[ok], y[ok]
+                else:
+                    x, y = np.nonzero(alike >= LIKELY)
+                    common = k[i : i + 32][x] == parts[own[y]]
+                    first = common.argmax(axis=1)
+                    ok = k[i : i + 32][x, first] == key[a] if len(x) else np.zeros(0, bool)
+                    x, y = x[ok], y[ok]
                 if len(x):
-                    p, q = n[i : i + 64][x], node[own][y]
+                    p, q = n[i : i + 32][x], node[own][y]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
 
+def _apart(large: DataFrame, ok: DataFrame, views: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
+    """Likely pairs (a, b) of members of one large posting that the links ok leave in different components."""
+    roots = components(ok).withColumnRenamed("node", "_node")
+    own = materialize(large.join(roots, large.node == roots._node, "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")).distinct(), "own")
+    each = own.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"))
+    mixed = materialize(own.join(each.filter("roots > 1").select("key", "main"), "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "mixed")
+    asks = mixed.filter("root <> main").select("key", "node", "root", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("asks"))
+    held = mixed.select("key", "node", "root", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("asks"))
+    wanted = mixed.select("node").distinct()
+    known = views.select("node", "keys").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("keys").alias("keys")).join(sets, "node")
+    profiles = known.select("node", "shingles", "keys").mapInArrow(_profiles, "node long, sketch binary, parts binary")
+    met = asks.unionAll(held).join(profiles, "node").repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.desc("asks"))
+    return met.select("key", "chunk", "asks", "node", "root", "sketch", "parts").mapInArrow(lambda it: _across(it, best), "a long, b long").distinct()
+
+
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(node, id) per row, node a hash of id and text, and (a, b) links of nodes whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
     Candidates are SimHash links of the whole text and equal fingerprints of text parts: each of 24 parts holds the five
     shingles that come first in five random orders, so a pair at 0.8 shares one with probability 0.9999. Each candidate
     is verified on the exact sets of shingles. Members of a posting of more than WHOLE meet three pivots first; then
-    members outside the posting's largest component are held against all others, CHUNK at a time, by sketches of 120
-    bytes, and pairs of different components that agree in LIKELY of them (a pair at 0.8 does with probability 0.999)
-    are verified as well.
+    members outside the posting's largest component are held against all others, CHUNK at a time, by sketches of 512
+    bytes: first each one's likeliest pair is verified, then all pairs still in different components whose sketches say
+    0.74 or more (a pair at 0.8 does with probability 0.999).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("id", "text").alias("node"), "id", "text")
-    views = materialize(rows.mapInArrow(_views, "node long, id long, fp long, keys array<long>, sketch binary"), "views")
+    views = materialize(rows.mapInArrow(_views, "node long, id long, fp long, keys array<long>"), "views")
     nodes = materialize(views.groupBy("fp").agg(F.min("node").alias("rep"), F.max("node").alias("most")), "fpnode")
     same = views.select("node", "fp").join(nodes.filter("rep < most"), "fp")
     left, right = nodes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), nodes.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
@@ -355,16 +404,9 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = materialize(texts.mapInArrow(_packed_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     ok = _verified(found, sets)
     if sizes.filter(F.col("n") > WHOLE).limit(1).count():
-        roots = components(ok).withColumnRenamed("node", "_node")
-        own = materialize(large.join(roots, large.node == roots._node, "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")).distinct(), "own")
-        each = own.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"))
-        mixed = own.join(each.filter("roots > 1").select("key", "main"), "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-        asks = mixed.filter("root <> main").select("key", "node", "root", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("asks"))
-        held = mixed.select("key", "node", "root", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("asks"))
-        sketches = views.groupBy("node").agg(F.first("sketch").alias("sketch"))
-        met = asks.unionAll(held).join(sketches, "node").repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.desc("asks"))
-        apart = met.select("key", "chunk", "asks", "node", "root", "sketch").mapInArrow(_across, "a long, b long").distinct().join(found, ["a", "b"], "left_anti")
-        ok = ok.unionAll(_verified(apart, sets))
+        likely = materialize(_apart(large, ok, views, sets, True).join(found, ["a", "b"], "left_anti"), "likely")
+        ok = ok.unionAll(_verified(likely, sets))
+        ok = ok.unionAll(_verified(_apart(large, ok, views, sets, False).join(found.unionAll(likely), ["a", "b"], "left_anti"), sets))
     return views.select("node", "id"), ok
 
 
