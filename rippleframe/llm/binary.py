@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, slices, work_dir
-from .tokens import default_vocabulary, encoder
+from .tokens import default_vocabulary, encoder, forget
 
 MAX_BITS, STEP, BLOCK_IDS = 16, 256, 1 << 18
 #: Ids of a part (a sorted run of blocks), and the most parts; beyond, parts grow.
@@ -222,6 +222,7 @@ def write_tokens(rows: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()
         lengths, part = shared.value, TaskContext.get().partitionId()
         codes = canonical_codes(lengths)
         docs, held, n, before, number = [], [], 0, 0, 0
@@ -268,6 +269,7 @@ def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: in
         wanted = wanted.filter(F.col("low") <= high)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         lengths, before = shared.value
         table, size, top = decode_table(lengths)
         for batch in it:

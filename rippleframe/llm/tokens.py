@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import filterfalse
 
 import numpy as np
 
@@ -39,16 +40,15 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; remembers about limit pieces and drops all when full."""
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters, self.limit = self.tokenizer.model, _byte_letters(), limit
-        #: ids of pieces that have a space before them (keys without it), of others, and of letters alone.
+        #: ids of pieces that have a space before them (keys without it), and of others.
         self.after: dict[str, bytes | None] = {}
         self.start: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
 
     def _whole(self, s: str) -> bytes:
         return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
@@ -56,28 +56,28 @@ class Encoder:
     def _has_added(self, text: str) -> bool:
         return any(a in text for a in self.added)
 
-    def _letters(self, stems: list[str], space: str) -> None:
-        """Remember pieces that are letters only; space: the byte letter of a space, or nothing."""
-        tokenize, known = self.model.tokenize, self.stems
-        for s in stems:
-            mapped = s if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
-            known[space + s] = array("I", [t.id for t in tokenize(space + mapped)]).tobytes()
+    def _room(self, limit: int) -> None:
+        if len(self.after) + len(self.start) > limit:
+            self.after.clear()
+            self.start.clear()
 
     def _learn(self, pieces: set[str], known: dict[str, bytes | None], space: str) -> None:
         """Fill known for pieces (without their space)."""
-        byte_space, stems = "\u0120" if space else "", self.stems
-        letters = [p for p in pieces if p.isalpha()]
-        marked = [(p, p.rstrip(_MARKS)) for p in pieces.difference(letters)]
-        plain = [x for x in marked if x[1].isalpha()]
-        wanted = {byte_space + p for p in letters} | {byte_space + x for _, x in plain}
-        self._letters([x[len(byte_space) :] for x in wanted.difference(stems)], byte_space)
-        for p in letters:
-            known[p] = stems[byte_space + p]
-        for p, x in plain:
-            tail = p[len(x) :]
-            known[p] = stems[byte_space + x] + (self.start.get(tail) or self._start(tail))
-        for p, x in marked:
-            if x.isalpha():
+        tokenize, byte_space = self.model.tokenize, "\u0120" if space else ""
+
+        def letters(s: str) -> bytes:
+            mapped = s if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in tokenize(byte_space + mapped)]).tobytes()
+
+        for p in pieces:
+            if p.isalpha():
+                known[p] = letters(p)
+                continue
+            stem = p.rstrip(_MARKS)
+            if stem.isalpha():
+                if stem not in known:
+                    known[stem] = letters(stem)
+                known[p] = known[stem] + self._start(p[len(stem) :])
                 continue
             if not p or p[0].isspace() or p[-1].isspace():
                 known[p] = None if space else self._whole(p)
@@ -96,25 +96,22 @@ class Encoder:
         return self.start[s]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        after = self.after
-        if len(after) + len(self.start) + len(self.stems) > self.limit:
-            after.clear()
-            self.start.clear()
-            self.stems.clear()
-        split = [[""] if self._has_added(t) else t.split(" ") for t in texts]
-        self._learn(set().union(*(p[1:] for p in split)).difference(after), after, " ")
-        self._learn({p[0] for p in split if p[0] and not p[0][-1].isspace()}.difference(self.start), self.start, "")
-        out = []
-        for text, parts in zip(texts, split, strict=True):
-            first = self.start.get(parts[0]) if parts[0] or len(parts) > 1 else None
-            if first is not None:
-                try:
-                    del parts[0]
-                    out.append(first + b"".join([after[p] for p in parts]))
-                    continue
-                except TypeError:  # a space beside other white space
-                    pass
-            out.append(self._pieces(text))
+        self._room(self.limit)
+        after, out = self.after, []
+        of, known = after.__getitem__, after.__contains__
+        for text in texts:
+            parts = text.split(" ")
+            head = parts.pop(0)
+            if not head or head[-1].isspace() or self._has_added(text):
+                out.append(self._pieces(text))
+                continue
+            new = set(filterfalse(known, parts))
+            if new:
+                self._learn(new, after, " ")
+            try:
+                out.append(self._start(head) + b"".join(map(of, parts)))
+            except TypeError:  # a space beside other white space
+                out.append(self._pieces(text))
         return out
 
     def _pieces(self, text: str) -> bytes:
@@ -134,6 +131,12 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def forget() -> None:
+    """Free this process's memory of pieces, for work that encodes no more."""
+    for e in (*_ENCODERS.values(), *_OFFSETS.values()):
+        e._room(0)
+
+
 def encoder(path: str) -> Encoder:
     """One per process and vocabulary, so that its memory lasts over tasks."""
     if path not in _ENCODERS:
@@ -144,6 +147,10 @@ def encoder(path: str) -> Encoder:
 class OffsetEncoder(Encoder):
     """Character spans of tokens; a remembered piece is its tokens' (begin, end) pairs in characters."""
 
+    def __init__(self, path: str, limit: int = 600_000):
+        super().__init__(path, limit)
+        self.stems: dict[str, bytes] = {}
+
     def _span_bytes(self, s: str, encoding) -> bytes:
         return array("I", [x for pair in encoding.offsets for x in pair]).tobytes()
 
@@ -173,10 +180,9 @@ class OffsetEncoder(Encoder):
         """Begin and end of every token of each text."""
         out = []
         after = self.after
-        if len(after) + len(self.start) + len(self.stems) > self.limit // 2:
-            after.clear()
-            self.start.clear()
+        if len(after) + len(self.start) + len(self.stems) > self.limit:
             self.stems.clear()
+            self._room(0)
         cut = [([t] if self._has_added(t) else _CUT.split(t)) if t else [] for t in texts]
         self._learn(set().union(*(p[1:] for p in cut)).difference(after), after, " ")
         for pieces in cut:
