@@ -66,6 +66,8 @@ def direct_cascades(arcs: DataFrame, seeds: DataFrame, n_draws: int, seed: int =
         if front.isEmpty():
             break
         reached = stored(reached.unionByName(front), "reached")
+    else:
+        raise RuntimeError("cascades did not end")
     return reached.groupBy("src", "draw").agg(F.count("*").cast("int").alias("size"))
 
 
@@ -83,6 +85,8 @@ def sir(net: Network, seeds: DataFrame, beta: float, mu: float, n_draws: int, se
         if ill.isEmpty():
             break
         ever = stored(ever.unionByName(new), "ever")
+    else:
+        raise RuntimeError("outbreaks did not end")
     return ever.groupBy("src", "draw").agg(F.count("*").cast("int").alias("size"))
 
 
@@ -134,6 +138,8 @@ def threshold_cascades(net: Network, num: int, den: int, within: DataFrame | Non
         if new.isEmpty():
             break
         active = stored(active.unionByName(new), "active")
+    else:
+        raise RuntimeError("cascades did not end")
     return active
 
 

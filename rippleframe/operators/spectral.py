@@ -39,7 +39,7 @@ def _growth(step, x: np.ndarray, rounds: int, tol: float) -> float:
         if abs(value - last) <= tol * max(1.0, value):
             return value
         last, x = value, y / norm
-    return last
+    raise RuntimeError("the spectral radius did not settle")
 
 
 def _csr(net: Network):

@@ -5,11 +5,11 @@ from __future__ import annotations
 from .functions.rng import uniform_sql as U
 from .queries import DRAWS, SEEDS, P
 
-RAW = "raw AS (SELECT a.l_partkey AS u, b.l_partkey AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_orderkey % 32 = 0)"
+RAW = "raw AS (SELECT a.l_partkey AS u, b.l_partkey AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_discount = b.l_discount AND a.l_linenumber < b.l_linenumber)"
 COMP = f"""{RAW}, simple AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM raw WHERE u <> v),
 both0 AS (SELECT u, v FROM simple UNION ALL SELECT v, u FROM simple),
-reach(node, lab) AS (SELECT DISTINCT u, u FROM both0 UNION SELECT b.v, r.lab FROM reach r JOIN both0 b ON b.u = r.node WHERE r.lab < b.v),
-comp AS (SELECT node, min(lab) AS comp FROM reach GROUP BY node)"""
+reach(node, lab) USING KEY (node) AS (SELECT DISTINCT u, u FROM both0 UNION SELECT b.v, min(r.lab) FROM reach r JOIN both0 b ON b.u = r.node JOIN recurring.reach c ON c.node = b.v WHERE r.lab < c.lab GROUP BY b.v),
+comp AS (SELECT node, lab AS comp FROM reach)"""
 NET = f"""{COMP}, big AS (SELECT comp FROM comp GROUP BY comp ORDER BY count(*) DESC, comp LIMIT 1),
 ids AS (SELECT node AS original_id, row_number() OVER (ORDER BY node) - 1 AS node FROM comp WHERE comp = (SELECT comp FROM big)),
 edges AS (SELECT a.node AS u, b.node AS v FROM simple s JOIN ids a ON a.original_id = s.u JOIN ids b ON b.original_id = s.v),
@@ -35,8 +35,8 @@ def live(p: str, draws: int, seed: int, name: str = "lv0") -> str:
 def perc(p: str, draws: int, seed: int, n: str = "") -> str:
     """Components of the live graph per draw."""
     return f"""{live(p, draws, seed, f'lv{n}')}, lb{n} AS (SELECT draw, u, v FROM lv{n} UNION ALL SELECT draw, v, u FROM lv{n}),
-rc{n}(draw, node, lab) AS (SELECT draw, node, node FROM deg, (SELECT unnest(range(0, {draws}))::INTEGER AS draw) UNION SELECT r.draw, b.v, r.lab FROM rc{n} r JOIN lb{n} b ON b.draw = r.draw AND b.u = r.node WHERE r.lab < b.v),
-pc{n} AS (SELECT draw, node, min(lab) AS comp FROM rc{n} GROUP BY draw, node),
+rc{n}(draw, node, lab) USING KEY (draw, node) AS (SELECT draw, node, node FROM deg, (SELECT unnest(range(0, {draws}))::INTEGER AS draw) UNION SELECT r.draw, b.v, min(r.lab) FROM rc{n} r JOIN lb{n} b ON b.draw = r.draw AND b.u = r.node JOIN recurring.rc{n} c ON c.draw = b.draw AND c.node = b.v WHERE r.lab < c.lab GROUP BY r.draw, b.v),
+pc{n} AS (SELECT draw, node, lab AS comp FROM rc{n}),
 perc{n} AS (SELECT draw, node, comp, count(*) OVER (PARTITION BY draw, comp)::INTEGER AS size FROM pc{n})"""
 
 
@@ -47,7 +47,7 @@ nd AS (SELECT u AS node, sum(k) AS x1 FROM arcs JOIN deg ON deg.node = arcs.v GR
 wide AS (SELECT deg.node, round(b_2, 6) AS y, k::DOUBLE AS x0, x1::DOUBLE AS x1, edges_leaving_ego::DOUBLE AS y1, r2, r3, ((k - 1) * c2)::DOUBLE AS c2, ((k - 1) * c3)::DOUBLE AS c3 FROM deg JOIN nd USING (node) JOIN ego USING (node) JOIN sf USING (node) JOIN b2 USING (node)),
 rules AS (SELECT node, y, 0 AS radius, 'node' AS richness, x0 AS x FROM wide UNION ALL SELECT node, y, 1, 'node', x1 FROM wide UNION ALL SELECT node, y, 2, 'node', r2 FROM wide UNION ALL SELECT node, y, 3, 'node', r3 FROM wide
  UNION ALL SELECT node, y, 0, 'all', x0 FROM wide UNION ALL SELECT node, y, 1, 'all', y1 FROM wide UNION ALL SELECT node, y, 2, 'all', c2 FROM wide UNION ALL SELECT node, y, 3, 'all', c3 FROM wide),
-lng AS (SELECT * FROM rules, (SELECT unnest(range(0, {SEEDS}))::INTEGER AS seed) WHERE {U('node', 'seed')} < 0.9),
+lng AS (SELECT node, y, radius, richness, seed, x + 0.001::DOUBLE * {U('node', 'seed')} AS x FROM rules, (SELECT unnest(range(0, {SEEDS}))::INTEGER AS seed)),
 cells AS (SELECT a.radius, a.richness, a.seed, round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x)))::DOUBLE * sum(abs(sign(a.y - b.y)))), 9) AS kendall_tau FROM lng a JOIN lng b ON a.radius = b.radius AND a.richness = b.richness AND a.seed = b.seed AND a.node < b.node GROUP BY ALL)"""
 LARGEST = ", ".join([NET, *(perc(str(m / 10), 6, 2, str(m)) for m in (2, 4, 6))]) + ", lt AS (" + " UNION ALL ".join(f"SELECT {m} AS m, draw, max(size) AS s1 FROM perc{m} GROUP BY draw" for m in (2, 4, 6)) + "), chi AS (SELECT m, var_samp(s1) / avg(s1) AS chi FROM lt GROUP BY m)"
 
@@ -64,8 +64,8 @@ def _ladder() -> str:
     return ", ".join(parts)
 
 
-def _five(c: str, name: str, total: bool = False) -> str:
-    s = f"round(avg({c}), 6) AS {name}_mean, round(max({c}), 6)::DOUBLE AS {name}_max, round(min({c}), 6)::DOUBLE AS {name}_min, round(stddev_pop({c}), 6) AS {name}_std"
+def _five(c: str, name: str, total: bool = False, digits: int = 6) -> str:
+    s = f"round(avg({c}), {digits}) AS {name}_mean, round(max({c}), {digits})::DOUBLE AS {name}_max, round(min({c}), {digits})::DOUBLE AS {name}_min, round(stddev_pop({c}), {digits}) AS {name}_std"
     return s + (f", round(sum({c}), 6)::DOUBLE AS {name}_sum" if total else "")
 
 
@@ -94,7 +94,7 @@ def oracle_sql() -> dict[str, str]:
         "p15_observer_view": q(SHELL, "SELECT src, (inside + 2 * (total - inside))::BIGINT AS arcs, (total - inside)::BIGINT AS stubs FROM (SELECT a.src, count(*) AS total, sum((b.node IS NOT NULL)::INTEGER) AS inside FROM shell a JOIN arcs ON arcs.u = a.node LEFT JOIN shell b ON b.src = a.src AND b.node = arcs.v AND b.d <= 1 WHERE a.d <= 1 GROUP BY a.src)"),
         "f1_degree": q(NET, "SELECT node, k AS degree, round(k / greatest(n - 1, 1)::DOUBLE, 6) AS degree_normalized FROM deg, nn"),
         "f2_f7_ego": q(f"{NET}, {EGO}", "SELECT node, triangle_count, round(clustering_coefficient, 6)::DOUBLE AS clustering_coefficient, ego_net_size, ego_net_edges, round(ego_net_density, 6)::DOUBLE AS ego_net_density, edges_leaving_ego, round(effective_size, 6)::DOUBLE AS effective_size, round(boundary_porosity, 6) AS boundary_porosity FROM ego"),
-        "f8_f9_edges": q(f"{NET}, {TRI}", f"SELECT node, {_five('c', 'edge_embeddedness')}, {_five('o', 'edge_overlap')} FROM (SELECT u AS node, c, CASE WHEN a.k + b.k - 2 - c <> 0 THEN c / (a.k + b.k - 2 - c)::DOUBLE ELSE 0 END AS o FROM ends JOIN deg a ON a.node = u JOIN deg b ON b.node = v) GROUP BY node"),
+        "f8_f9_edges": q(f"{NET}, {TRI}", f"SELECT node, {_five('c', 'edge_embeddedness', digits=9)}, {_five('o', 'edge_overlap', digits=9)} FROM (SELECT u AS node, c, CASE WHEN a.k + b.k - 2 - c <> 0 THEN c / (a.k + b.k - 2 - c)::DOUBLE ELSE 0 END AS o FROM ends JOIN deg a ON a.node = u JOIN deg b ON b.node = v) GROUP BY node"),
         "f10_f11_f28_neighbour_degree": q(NET, "SELECT u AS node, round(avg(k), 6) AS nbr_degree_mean, max(k)::DOUBLE AS nbr_degree_max, min(k)::DOUBLE AS nbr_degree_min, round(stddev_pop(k), 6) AS nbr_degree_std, sum(k)::BIGINT AS nbr_degree_sum, round(avg(k) - count(*), 6) AS assortativity_local, round(max(h), 6) + 0.0 AS local_entropy, round(CASE WHEN count(*) > 1 THEN max(h) / ln(count(*)) ELSE 0 END, 6) AS local_entropy_norm, (sum(k) - count(*))::BIGINT AS nbw_2 FROM (SELECT u, d.k, sum(-(d.k / t) * ln(d.k / t)) OVER (PARTITION BY u) AS h FROM (SELECT u, v, sum(k) OVER (PARTITION BY u)::DOUBLE AS t FROM arcs JOIN deg ON deg.node = v) x JOIN deg d ON d.node = x.v) GROUP BY u"),
         "f12_ego_betweenness": q(f"{NET}, {B2}", "SELECT d.node, round(coalesce(s, 0), 6)::DOUBLE AS ego_betweenness FROM deg d LEFT JOIN (SELECT i AS node, sum(1.0 / (1 + c)) AS s FROM (SELECT w.i, w.j, w.l, count(y.v) AS c FROM w2 w JOIN arcs n ON n.u = w.i LEFT JOIN arcs x ON x.u = w.j AND x.v = n.v LEFT JOIN arcs y ON y.u = w.l AND y.v = x.v GROUP BY w.i, w.j, w.l) GROUP BY i) USING (node)"),
         "f13_cluster_rank": q(f"{NET}, {EGO}", "SELECT node, round(pow(10, -clustering_coefficient) * (s + k), 6) AS cluster_rank FROM ego JOIN deg USING (node) JOIN (SELECT u AS node, sum(k) AS s FROM arcs JOIN deg ON deg.node = v GROUP BY u) USING (node)"),
@@ -116,7 +116,7 @@ def oracle_sql() -> dict[str, str]:
         "d1_edge_probability": q(NET, f"SELECT u, v, CASE floor({U('u', 'v', '5')} * 3) WHEN 0 THEN 0.001 WHEN 1 THEN 0.01 ELSE 0.1 END::DOUBLE AS p FROM edges"),
         "d2_arc_probability": q(NET, "SELECT u, v, round(1.0 / k, 6)::DOUBLE AS p FROM arcs JOIN deg ON deg.node = v"),
         "d3_d9_percolation": q(PERC, "SELECT * FROM perc"),
-        "d4_direct_cascades": q(f"{NET}, dl AS (SELECT draw, u, v FROM arcs JOIN deg ON deg.node = v, (SELECT unnest(range(0, 4))::INTEGER AS draw) WHERE {U('u', 'v', 'draw', '1')} < 1.0 / k), dr(src, draw, node) AS (SELECT node, draw, node FROM deg, (SELECT unnest(range(0, 4))::INTEGER AS draw) WHERE node < 20 UNION SELECT r.src, r.draw, l.v FROM dr r JOIN dl l ON l.draw = r.draw AND l.u = r.node)", "SELECT src, draw, count(*)::INTEGER AS size FROM dr GROUP BY src, draw"),
+        "d4_direct_cascades": q(f"{NET}, dl AS (SELECT draw, u, v FROM arcs JOIN deg ON deg.node = v, (SELECT unnest(range(0, 4))::INTEGER AS draw) WHERE {U('u', 'v', 'draw', '1')} < 1.0 / k), dr(src, draw, node) AS (SELECT node, draw, node FROM deg, (SELECT unnest(range(0, 4))::INTEGER AS draw) UNION SELECT r.src, r.draw, l.v FROM dr r JOIN dl l ON l.draw = r.draw AND l.u = r.node)", "SELECT src, draw, count(*)::INTEGER AS size FROM dr GROUP BY src, draw"),
         "d6_spread_statistics": q(f"{PERC}, {STATS}", "SELECT node, round(spread_mean, 6) AS spread_mean, round(spread_std, 6) AS spread_std, round(spread_std / sqrt(c), 6) AS spread_stderr, round(spread_std / spread_mean, 6) AS spread_cv, round(spread_ignition, 6) AS spread_ignition FROM st"),
         "d7_noise_report": q(f"{PERC}, {STATS}, nr AS (SELECT quantile_cont(spread_std / sqrt(c), 0.5) AS m, stddev_pop(spread_mean) AS b FROM st)", "SELECT round(m, 6) AS median_stderr, round(b, 6) AS between, round(m / b, 6) AS noise_ratio, m / b < 0.1 AS quiet FROM nr"),
         "d8_transmission_sweep": q(f"{NET}, {perc('0.1', 4, 0, '1')}, {perc('0.3', 4, 0, '3')}", " UNION ALL ".join(f"SELECT {p}::DOUBLE AS p, round(avg(m), 6) AS mean_size, round(stddev_pop(m), 6) AS between_nodes, round(avg(i), 6) AS ignition FROM (SELECT node, avg(size) AS m, avg((size > 0.05 * (SELECT n FROM nn))::INTEGER::DOUBLE) AS i FROM perc{x} GROUP BY node)" for p, x in ((0.1, "1"), (0.3, "3")))),
@@ -149,7 +149,7 @@ def oracle_sql() -> dict[str, str]:
         "a32_witnesses": q(f"{NET}, {B2}", "SELECT node, a, b, common, 2::BIGINT AS num, ((SELECT (n - 1) * (n - 2) FROM nn) * common)::BIGINT AS den FROM (SELECT i AS node, j AS a, l AS b, c AS common, row_number() OVER (PARTITION BY i ORDER BY c, j, l) AS r FROM w2 JOIN wc USING (j, l)) WHERE r = 1"),
         "g1_g2_g3_descriptors": q(f"{NET}, {TRI}", "SELECT n, (SELECT count(*) FROM edges) AS m, round(mk, 6) AS mean_degree, k_max, round((SELECT corr(a.k, b.k) FROM arcs JOIN deg a ON a.node = u JOIN deg b ON b.node = v), 6) AS assortativity, round(tt / pp, 6) AS transitivity, round(ac, 6) AS average_clustering, (tt / 3)::BIGINT AS triangles, round(sqrt(k_max), 6) AS hub, round(bulk, 6) AS bulk, sqrt(k_max) > bulk AS hub_wins FROM (SELECT count(*) AS n, avg(k) AS mk, max(k) AS k_max, sum(t)::DOUBLE AS tt, sum(k * (k - 1) / 2) AS pp, avg(CASE WHEN k > 1 THEN t / (k * (k - 1) / 2) ELSE 0 END) AS ac, sum(k * k) / sum(k)::DOUBLE AS bulk FROM deg JOIN tri USING (node))"),
         "g7_erdos_renyi": f"SELECT u, v FROM (SELECT unnest(range(0, 200)) AS u), (SELECT unnest(range(0, 200)) AS v) WHERE u < v AND {U('u', 'v', '7')} < 4.0::DOUBLE / 199",
-        "g8_chung_lu": q(f"{NET}, wt AS (SELECT node, k::DOUBLE AS w FROM deg WHERE node < 300)", f"SELECT a.node AS u, b.node AS v FROM wt a, wt b, (SELECT sum(w) AS s FROM wt) WHERE a.node < b.node AND {U('a.node', 'b.node', '7')} < a.w * b.w / s"),
+        "g8_chung_lu": q(f"{NET}, wt AS (SELECT node, k::DOUBLE AS w FROM deg)", f"SELECT a.node AS u, b.node AS v FROM wt a, wt b, (SELECT sum(w) AS s FROM wt) WHERE a.node < b.node AND {U('a.node', 'b.node', '7')} < a.w * b.w / s"),
         "g9_configuration_model": q(f"{NET}, stub AS (SELECT node, unnest(range(1, k + 1)) AS i FROM deg), nm AS (SELECT node, row_number() OVER (ORDER BY {U('node', 'i', '7')}, node, i) - 1 AS at FROM stub)", "SELECT a.node AS u, b.node AS v, a.at // 2 AS pair FROM nm a JOIN nm b ON b.at = a.at + 1 WHERE a.at % 2 = 0").replace("SELECT a.node AS u, b.node AS v, a.at // 2 AS pair", "SELECT a.node AS u, b.node AS v"),
         "k1_k5_evaluate": q(
             f"{NET}, {B2}, yp AS (SELECT node, round(b_2, 6)::DOUBLE AS y, k::DOUBLE AS p FROM b2 JOIN deg USING (node)), rk AS (SELECT *, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp, row_number() OVER (ORDER BY y DESC, node) AS ty, row_number() OVER (ORDER BY p DESC, node) AS tp FROM yp)",
@@ -181,7 +181,7 @@ def oracle_sql() -> dict[str, str]:
         "a3_curve": q(CELLS, "SELECT richness, radius, round(avg(kendall_tau), 6) AS tau_mean, round(stddev_samp(kendall_tau), 6) AS tau_sd, count(*) AS n FROM cells GROUP BY richness, radius"),
         "a4_seed_matrix": q(CELLS, "SELECT richness, seed, " + ", ".join(f"round(max(CASE WHEN radius = {r} THEN kendall_tau END), 6) AS r{r}" for r in range(4)) + " FROM cells GROUP BY richness, seed"),
         "a5_keep_last": q(CELLS, "SELECT radius, richness, seed, round(CASE WHEN seed < 2 THEN kendall_tau / 2 ELSE kendall_tau END, 6) AS kendall_tau, CASE WHEN seed < 2 THEN 2 ELSE 1 END AS seq FROM cells"),
-        "a7_pareto": q(f"{CELLS}, cv AS (SELECT richness, radius, radius * 10 + CASE WHEN richness = 'all' THEN 5 ELSE 0 END AS seconds, avg(kendall_tau) AS t FROM cells GROUP BY richness, radius)", "SELECT richness, radius, seconds, round(t, 6) AS tau_mean FROM cv a WHERE NOT EXISTS (SELECT 1 FROM cv b WHERE b.seconds < a.seconds AND b.t >= a.t)"),
+        "a7_pareto": q(f"{CELLS}, cv AS (SELECT richness, radius, radius * 10 + CASE WHEN richness = 'all' THEN 5 ELSE 0 END AS seconds, round(avg(kendall_tau), 9) AS t FROM cells GROUP BY richness, radius)", "SELECT richness, radius, seconds, round(t, 6) AS tau_mean FROM cv a WHERE NOT EXISTS (SELECT 1 FROM cv b WHERE b.seconds < a.seconds AND b.t >= a.t)"),
         "a8_depth_against_richness": q(CELLS, "SELECT radius, count(*) AS n, round(avg(g), 6) + 0.0 AS gain_richness, round(stddev_samp(g), 6) AS sd FROM (SELECT a.radius, a.kendall_tau - b.kendall_tau AS g FROM cells a JOIN cells b USING (radius, seed) WHERE a.richness = 'all' AND b.richness = 'node') GROUP BY radius"),
         "a9_noise_horizon": q(f"{CELLS}, mn AS (SELECT richness, radius, avg(kendall_tau) AS m FROM cells GROUP BY ALL), bs AS (SELECT richness, radius AS r_ceiling FROM (SELECT *, row_number() OVER (PARTITION BY richness ORDER BY m DESC, radius) AS r FROM mn) WHERE r = 1), gp AS (SELECT c.richness, r_ceiling, c.radius, avg(t.kendall_tau - c.kendall_tau) AS gap, stddev_samp(t.kendall_tau - c.kendall_tau) AS sd FROM cells c JOIN bs USING (richness) JOIN cells t ON t.richness = c.richness AND t.seed = c.seed AND t.radius = r_ceiling GROUP BY ALL)", "SELECT richness, min(CASE WHEN gap <= 2 * sd THEN radius END) AS r_star, r_ceiling FROM gp GROUP BY richness, r_ceiling"),
         "a10_a26_radius_gains": q(CELLS, "SELECT richness, radius, count(*) AS n, round(avg(g), 6) AS mean, round(stddev_samp(g), 6) AS sd, abs(avg(g)) > 2 * stddev_samp(g) AS starred FROM (SELECT a.richness, a.radius, a.kendall_tau - b.kendall_tau AS g FROM cells a JOIN cells b ON b.richness = a.richness AND b.seed = a.seed AND b.radius = a.radius - 1) GROUP BY richness, radius"),
@@ -194,10 +194,29 @@ def oracle_sql() -> dict[str, str]:
         "a28_radius_rule": q(f"{CELLS}, cv AS (SELECT richness, radius, avg(kendall_tau) AS t FROM cells GROUP BY ALL)", "SELECT a.richness, min(CASE WHEN a.t >= 0.9::DOUBLE * b.t THEN a.radius END) AS radius FROM cv a JOIN cv b ON b.richness = a.richness AND b.radius = 3 GROUP BY a.richness"),
         "a29_verdicts": q(f"{CELLS}, gn AS (SELECT a.richness, a.radius, avg(a.kendall_tau - b.kendall_tau) AS m, stddev_samp(a.kendall_tau - b.kendall_tau) AS sd FROM cells a JOIN cells b ON b.richness = a.richness AND b.seed = a.seed AND b.radius = a.radius - 1 GROUP BY ALL)", "SELECT richness, CASE WHEN bool_or(abs(m) > 2 * sd AND m > 0) THEN 'deeper' ELSE 'local' END AS verdict FROM gn WHERE radius > 1 GROUP BY richness"),
         "a33_a34_grid_scan": "SELECT count(*) AS rows, sum((l_discount = 0)::INTEGER)::BIGINT AS zeros, sum((l_discount::VARCHAR::DECIMAL(38, 18) % 0.01::DECIMAL(38, 18) <> 0)::INTEGER)::BIGINT AS off_grid, sum((l_discount::VARCHAR::DECIMAL(38, 18) = 0.01)::INTEGER)::BIGINT AS at_step, round(min(CASE WHEN l_discount > 0 THEN l_discount END), 6) AS least_positive FROM lineitem",
-        "a33_pair_labels": "WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS base, o_orderstatus = 'F' AS f FROM orders WHERE o_custkey % 7 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY base, f ORDER BY k)::INTEGER AS nth FROM o) SELECT base, nth, a.k AS plain, b.k AS filtered FROM n a JOIN n b USING (base, nth) WHERE NOT a.f AND b.f",
+        "a33_pair_labels": "WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS base, o_orderstatus = 'F' AS f FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY base, f ORDER BY k)::INTEGER AS nth FROM o) SELECT base, nth, a.k AS plain, b.k AS filtered FROM n a JOIN n b USING (base, nth) WHERE NOT a.f AND b.f",
         "a38_compare_runs": q(f"{CELLS}, ol AS (SELECT * FROM cells WHERE radius < 3), nw AS (SELECT radius, richness, seed, kendall_tau + CASE WHEN seed = 1 THEN 0.01 ELSE 0 END AS kendall_tau FROM cells WHERE radius > 0)", "SELECT radius, richness, seed, CASE WHEN o.kendall_tau IS NULL THEN 'new_only' WHEN n.kendall_tau IS NULL THEN 'old_only' ELSE 'both' END AS side, round(n.kendall_tau - o.kendall_tau, 6) AS diff, coalesce(abs(n.kendall_tau - o.kendall_tau) <= 1e-6, FALSE) AS agrees FROM ol o FULL JOIN nw n USING (radius, richness, seed)"),
         "r1_missing_cells": "SELECT r::INTEGER AS radius, q AS richness, s::INTEGER AS seed FROM (SELECT unnest(range(0, 4)) AS r), (SELECT unnest(['node', 'all']) AS q), (SELECT unnest(range(0, 5)) AS s) WHERE s >= 4 OR r = 2",
     }
+    out["t7_core_numbers"] = q(f"{NET}, core(node, h) USING KEY (node) AS (SELECT node, k FROM deg UNION SELECT x.u, x.h FROM (SELECT u, max(least(h, r)) AS h FROM (SELECT a.u, c.h, row_number() OVER (PARTITION BY a.u ORDER BY c.h DESC) AS r FROM arcs a JOIN recurring.core c ON c.node = a.v) GROUP BY u) x JOIN recurring.core o ON o.node = x.u WHERE x.h < o.h)", "SELECT node, h::BIGINT AS core FROM core")
+    out["d5_sir"] = q(
+        f"""{NET}, sr(src, draw, node, t) USING KEY (src, draw, node) AS (SELECT node, draw, node, 0 FROM deg, (SELECT unnest(range(0, 2))::INTEGER AS draw)
+        UNION (SELECT src, draw, node, t + 1 FROM sr WHERE {U('src', 'draw', 't', 'node', repr('r'), '0')} >= 0.5
+         UNION SELECT s.src, s.draw, a.v, s.t + 1 FROM sr s JOIN arcs a ON a.u = s.node WHERE {U('s.src', 's.draw', 's.t', 's.node', 'a.v', '0')} < 0.03 AND NOT EXISTS (SELECT 1 FROM recurring.sr e WHERE e.src = s.src AND e.draw = s.draw AND e.node = a.v)))""",
+        "SELECT src, draw, count(*)::INTEGER AS size FROM sr GROUP BY src, draw",
+    )
+    out["d11_threshold_cascades"] = q(
+        f"""{NET}, act(src, node, a) USING KEY (src, node) AS (SELECT node, node, 1 FROM deg UNION SELECT u, v, 1 FROM arcs
+        UNION SELECT t.src, t.v, 1 FROM (SELECT x.src, a.v, count(*) AS c FROM recurring.act x JOIN arcs a ON a.u = x.node GROUP BY x.src, a.v) t JOIN deg ON deg.node = t.v WHERE 3 * t.c >= deg.k AND NOT EXISTS (SELECT 1 FROM recurring.act e WHERE e.src = t.src AND e.node = t.v))""".replace("UNION SELECT u, v, 1 FROM arcs\n", "UNION ALL SELECT u, v, 1 FROM arcs\n"),
+        "SELECT src AS node, count(*) AS size FROM act GROUP BY src",
+    )
+    deep = 14  # more than the network's diameter
+    back = ", ".join(f"e{d} AS (SELECT l.src, a.u AS node, sum(x.s / l.s * (1 + coalesce(e.delta, 0))) AS delta FROM lvl l JOIN arcs a ON a.v = l.node JOIN lvl x ON x.src = l.src AND x.node = a.u AND x.d = {d} LEFT JOIN {f'e{d + 1}' if d < deep else '(SELECT NULL::BIGINT AS src, NULL::BIGINT AS node, NULL::DOUBLE AS delta)'} e ON e.src = l.src AND e.node = l.node WHERE l.d = {d + 1} GROUP BY l.src, a.u)" for d in range(deep, 0, -1))
+    out["t1_exact_betweenness"] = q(
+        f"""{NET}, lvl(src, node, d, s) USING KEY (src, node) AS (SELECT node, node, 0, 1.0::DOUBLE FROM deg
+        UNION SELECT r.src, a.v, r.d + 1, sum(r.s) FROM lvl r JOIN arcs a ON a.u = r.node WHERE NOT EXISTS (SELECT 1 FROM recurring.lvl e WHERE e.src = r.src AND e.node = a.v) GROUP BY r.src, a.v, r.d), {back}""",
+        "SELECT deg.node, round(coalesce(b, 0), 4)::DOUBLE AS betweenness FROM deg LEFT JOIN (SELECT node, sum(delta) / 2 AS b FROM (" + " UNION ALL ".join(f"SELECT node, delta FROM e{d}" for d in range(1, deep + 1)) + ") GROUP BY node) USING (node)",
+    )
     residual = "lx AS (SELECT node, log10(greatest(spread_mean, 1e-12)) AS lm, log10(greatest(spread_std, 1e-12)) AS ls FROM st), qe AS (SELECT list_sort(list_distinct(quantile_cont(lm, [" + ", ".join(f"{i / 10}" for i in range(11)) + "]))) AS e FROM lx), bn AS (SELECT node, ls, least(greatest(len(list_filter(e, lambda x: x <= lm)) - 1, 0), len(e) - 2) AS bin FROM lx, qe), rs AS (SELECT node, ls - median(ls) OVER (PARTITION BY bin) AS r FROM bn)"
     out["t4_variance_residual"] = q(f"{PERC}, {STATS}, {residual}", "SELECT node, round(r, 6) + 0.0 AS spread_resid FROM rs")
     out["t5_targets"] = q(f"{PERC}, {STATS}, {residual}, {B2}", "SELECT node, round(spread_mean, 6) AS spread_mean, round(spread_std, 6) AS spread_std, round(spread_std / spread_mean, 6) AS spread_cv, round(r, 6) + 0.0 AS spread_resid, round(spread_ignition, 6) AS spread_ignition, round(b_2, 6)::DOUBLE AS betweenness FROM st JOIN rs USING (node) JOIN b2 USING (node)")
