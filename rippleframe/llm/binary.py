@@ -154,14 +154,16 @@ def decode_range(block: bytes, document: int, begin: int, end: int, table: np.nd
     return np.array(out[begin % STEP :], np.uint32)
 
 
-def pack_ids(ids: bytes) -> bytes:
-    """Ids as their four byte planes, compressed; for tables and shuffles between the two passes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes())
+def pack_ids(ids: bytes, packer: zstandard.ZstdCompressor) -> bytes:
+    """Ids as byte planes, two where all ids are below 65536 and else four, compressed; for tables and shuffles between the two passes."""
+    wide = np.frombuffer(ids, "<u4")
+    narrow = wide.astype("<u2") if not len(wide) or wide.max() < 1 << 16 else wide
+    return bytes([narrow.itemsize]) + packer.compress(narrow.view(np.uint8).reshape(-1, narrow.itemsize).T.tobytes())
 
 
-def unpack_ids(packed: bytes) -> bytes:
-    planes = zstandard.ZstdDecompressor().decompress(packed) if packed else b""
-    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.tobytes()
+def unpack_ids(packed: bytes, opener: zstandard.ZstdDecompressor) -> bytes:
+    planes = np.frombuffer(opener.decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{packed[0]}")[:, 0].astype("<u4").tobytes()
 
 
 def token_rows(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, packed: bool = False) -> DataFrame:
@@ -172,14 +174,14 @@ def token_rows(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2,
     path = vocabulary or default_vocabulary()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), int(end_id).to_bytes(4, "little")
+        enc, end, packer = encoder(path), int(end_id).to_bytes(4, "little"), zstandard.ZstdCompressor(level=1)
         for batch in it:
             total = np.zeros(0, np.int64)
             for part in slices(batch, "text", 1 << 22):
                 ids = [x + end for x in enc.encode_many([t or "" for t in part.column("text").to_pylist()])]
                 if packed:
                     total = _added(total, np.bincount(np.frombuffer(b"".join(ids), "<u4")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([pack_ids(x) for x in ids] if packed else ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([pack_ids(x, packer) for x in ids] if packed else ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
             if packed and len(total):
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -224,7 +226,7 @@ def write_tokens(rows: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
 
         forget()
         lengths, part = shared.value, TaskContext.get().partitionId()
-        codes = canonical_codes(lengths)
+        codes, opener = canonical_codes(lengths), zstandard.ZstdDecompressor()
         docs, held, n, before, number = [], [], 0, 0, 0
 
         def closed():
@@ -238,7 +240,7 @@ def write_tokens(rows: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
         for batch in it:
             for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 docs.append(doc)
-                held.append(unpack_ids(x))
+                held.append(unpack_ids(x, opener))
                 n += len(held[-1]) // 4
                 if n >= BLOCK_IDS:
                     yield closed()
