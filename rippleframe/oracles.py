@@ -205,11 +205,13 @@ def oracle_sql() -> dict[str, str]:
          UNION SELECT s.src, s.draw, a.v, s.t + 1 FROM sr s JOIN arcs a ON a.u = s.node WHERE {U('s.src', 's.draw', 's.t', 's.node', 'a.v', '0')} < 0.03 AND NOT EXISTS (SELECT 1 FROM recurring.sr e WHERE e.src = s.src AND e.draw = s.draw AND e.node = a.v)))""",
         "SELECT src, draw, count(*)::INTEGER AS size FROM sr GROUP BY src, draw",
     )
-    out["d11_threshold_cascades"] = q(
-        f"""{NET}, act(src, node, a) USING KEY (src, node) AS (SELECT node, node, 1 FROM deg UNION SELECT u, v, 1 FROM arcs
-        UNION SELECT t.src, t.v, 1 FROM (SELECT x.src, a.v, count(*) AS c FROM recurring.act x JOIN arcs a ON a.u = x.node GROUP BY x.src, a.v) t JOIN deg ON deg.node = t.v WHERE 3 * t.c >= deg.k AND NOT EXISTS (SELECT 1 FROM recurring.act e WHERE e.src = t.src AND e.node = t.v))""".replace("UNION SELECT u, v, 1 FROM arcs\n", "UNION ALL SELECT u, v, 1 FROM arcs\n"),
-        "SELECT src AS node, count(*) AS size FROM act GROUP BY src",
-    )
+    def spread(within: str) -> str:
+        """Threshold cascades from closed neighbourhoods."""
+        return f"""act(src, node, a) USING KEY (src, node) AS (SELECT node, node, 1 FROM deg UNION SELECT u, v, 1 FROM arcs
+        UNION SELECT t.src, t.v, 1 FROM (SELECT x.src, a.v, count(*) AS c FROM recurring.act x JOIN arcs a ON a.u = x.node GROUP BY x.src, a.v) t JOIN deg ON deg.node = t.v {within} WHERE 3 * t.c >= deg.k AND NOT EXISTS (SELECT 1 FROM recurring.act e WHERE e.src = t.src AND e.node = t.v))"""
+
+    out["d11_threshold_cascades"] = q(f"{NET}, {spread('')}", "SELECT src AS node, count(*) AS size FROM act GROUP BY src")
+    out["d12_d13_truncated_threshold"] = q(f"{SHELL}, {spread('JOIN shell b ON b.src = t.src AND b.node = t.v AND b.d <= 2')}", "SELECT src AS node, count(*) AS size, NOT bool_or(d = 2) AS contained, CASE WHEN bool_or(d = 2) THEN (SELECT n + 1 FROM nn) ELSE count(*) END AS prediction FROM act JOIN shell USING (src, node) GROUP BY src")
     deep = 14  # more than the network's diameter
     back = ", ".join(f"e{d} AS (SELECT l.src, a.u AS node, sum(x.s / l.s * (1 + coalesce(e.delta, 0))) AS delta FROM lvl l JOIN arcs a ON a.v = l.node JOIN lvl x ON x.src = l.src AND x.node = a.u AND x.d = {d} LEFT JOIN {f'e{d + 1}' if d < deep else '(SELECT NULL::BIGINT AS src, NULL::BIGINT AS node, NULL::DOUBLE AS delta)'} e ON e.src = l.src AND e.node = l.node WHERE l.d = {d + 1} GROUP BY l.src, a.u)" for d in range(deep, 0, -1))
     out["t1_exact_betweenness"] = q(

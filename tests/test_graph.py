@@ -241,3 +241,30 @@ def test_planted_communities():
         across = np.mean([home[u] != home[v] for u, v in edges])
         assert abs(across - mixing) < 0.1 and (home >= 0).all()
         assert len({home[x] for x in range(600)}) > 2
+
+
+@pytest.mark.parametrize("den", [2, 3])
+def test_threshold_cascades_against_loops(net, near, shell, den):
+    def run(src, ball):
+        active = {src, *near[src]} & ball
+        while new := {v for v in ball - active if den * len(near[v] & active) >= len(near[v])}:
+            active |= new
+        return active
+
+    got = {r.node: r.size for r in dynamics.threshold_sizes(net, 1, den).collect()}
+    assert got == {s: len(run(s, set(near))) for s in near}
+    inside = dynamics.truncated_threshold_sizes(net, 1, den, shell, 2)
+    want = {}
+    for s in near:
+        dist = distances(near, s)
+        active = run(s, {v for v, d in dist.items() if d <= 2})
+        want[s] = (len(active), all(dist[v] < 2 for v in active))
+    assert {r.node: (r.size, r.contained) for r in inside.collect()} == want
+    assert {r.node: r.prediction for r in dynamics.censored_predictor(inside, len(near)).collect()} == {s: n if c else len(near) + 1 for s, (n, c) in want.items()}
+
+
+def test_loops_that_do_not_end_raise(spark, net):
+    with pytest.raises(RuntimeError):
+        dynamics.sir(net, net.nodes.select("node").limit(1), 1.0, 0.0, 1, max_steps=2)
+    with pytest.raises(RuntimeError):
+        dynamics.threshold_cascades(net_of(spark, [(i, i + 1) for i in range(8)]), 1, 2, max_steps=1)
