@@ -205,6 +205,10 @@ def oracle_sql() -> dict[str, str]:
          UNION SELECT s.src, s.draw, a.v, s.t + 1 FROM sr s JOIN arcs a ON a.u = s.node WHERE {U('s.src', 's.draw', 's.t', 's.node', 'a.v', '0')} < 0.03 AND NOT EXISTS (SELECT 1 FROM recurring.sr e WHERE e.src = s.src AND e.draw = s.draw AND e.node = a.v)))""",
         "SELECT src, draw, count(*)::INTEGER AS size FROM sr GROUP BY src, draw",
     )
+    out["x1_unpivot_features"] = q(NET, "SELECT node, 'degree' AS feature, k::DOUBLE AS value FROM deg UNION ALL SELECT node, 'degree_normalized', round(k / greatest(n - 1, 1)::DOUBLE, 6) FROM deg, nn")
+    out["x2_common_leaders"] = q(f"{NET}, ns AS (SELECT u AS node, sum(k) AS x FROM arcs JOIN deg ON deg.node = arcs.v GROUP BY u)", "(SELECT node FROM deg ORDER BY k DESC, node LIMIT 100) INTERSECT (SELECT node FROM ns ORDER BY x DESC, node LIMIT 100)")
+    out["x3_lookup_parts"] = q(NET, "SELECT node, original_id, p_brand, p_size FROM ids LEFT JOIN part ON p_partkey = original_id")
+
     def spread(within: str) -> str:
         """Threshold cascades from closed neighbourhoods."""
         return f"""act(src, node, a) USING KEY (src, node) AS (SELECT node, node, 1 FROM deg UNION SELECT u, v, 1 FROM arcs

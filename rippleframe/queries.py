@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.rng import uniform
-from .operators import descriptors, dynamics, features, graph, rankstats, shells, spectral, targets
+from .operators import descriptors, dynamics, features, graph, rankstats, relational, shells, spectral, targets
 from .plans import horizon
 from .sources.tables import stored, table
 
@@ -662,5 +662,23 @@ def r1_missing_cells(s, d):
     return horizon.missing_cells(c, c.filter("seed < 4"), c.filter("radius <> 2"), ["radius", "richness", "seed"])
 
 
+@query
+def x1_unpivot_features(s, d):
+    return _round(relational.unpivot(features.degree_features(network(s, d)), ["node"], ["degree", "degree_normalized"]))
+
+
+@query
+def x2_common_leaders(s, d):
+    net = network(s, d)
+    by_neighbours = features.neighbour_degree_features(net).select("node", F.col("nbr_degree_sum").alias("k"))
+    return relational.common_rows(dynamics.top_k(net.degree, "k", 100).select("node"), dynamics.top_k(by_neighbours, "k", 100).select("node"))
+
+
+@query
+def x3_lookup_parts(s, d):
+    part = table(s, d, "part").select(F.col("p_partkey").alias("original_id"), "p_brand", "p_size")
+    return relational.lookup_join(network(s, d).nodes.select("node", "original_id"), part, "original_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)

@@ -71,3 +71,17 @@ def test_horizon_rules(spark):
     with pytest.raises(ValueError):
         horizon.splice(cells, cells.filter("radius < 3"), "t")
     assert horizon.splice(cells, cells.withColumn("kendall_tau", F.lit(0.0)), "t").agg(F.sum("kendall_tau")).first()[0] == 0.0
+
+
+def test_table_shapes(spark):
+    from rippleframe.operators import relational
+
+    wide = spark.createDataFrame([(1, 2, 0.5), (2, None, 1.5)], "node long, a long, b double")
+    assert {tuple(r) for r in relational.unpivot(wide, ["node"], ["a", "b"]).collect()} == {(1, "a", 2.0), (1, "b", 0.5), (2, "a", None), (2, "b", 1.5)}
+    x, y = spark.createDataFrame([(1, "p"), (1, "p"), (2, None)], "k long, v string"), spark.createDataFrame([("p", 1), (None, 2), ("q", 3)], "v string, k long")
+    assert {tuple(r) for r in relational.common_rows(x, y).collect()} == {(1, "p"), (2, None)}
+    ref = spark.createDataFrame([(1, "one"), (2, "two"), (None, "none")], "k long, word string")
+    got = relational.lookup_join(spark.createDataFrame([(1,), (1,), (3,), (None,)], "k long"), ref, "k").collect()
+    assert sorted((r.k or 0, r.word or "") for r in got) == [(0, ""), (1, "one"), (1, "one"), (3, "")]
+    with pytest.raises(Exception, match="repeated key"):
+        relational.lookup_join(spark.createDataFrame([(2,)], "k long"), ref.unionAll(ref), "k").collect()
