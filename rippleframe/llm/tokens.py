@@ -11,13 +11,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import filterfalse
+from string import punctuation
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_MARKS = ".,;:!?"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -73,7 +72,7 @@ class Encoder:
             if p.isalpha():
                 known[p] = letters(p)
                 continue
-            stem = p.rstrip(_MARKS)
+            stem = p.rstrip(punctuation)
             if stem.isalpha():
                 if stem not in known:
                     known[stem] = letters(stem)
@@ -98,18 +97,21 @@ class Encoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         self._room(self.limit)
         after, out = self.after, []
-        of, known = after.__getitem__, after.__contains__
+        get = after.get
         for text in texts:
             parts = text.split(" ")
             head = parts.pop(0)
             if not head or head[-1].isspace() or self._has_added(text):
                 out.append(self._pieces(text))
                 continue
-            new = set(filterfalse(known, parts))
+            held = list(map(get, parts))
+            new = [i for i, ids in enumerate(held) if ids is None]
             if new:
-                self._learn(new, after, " ")
+                self._learn({parts[i] for i in new}.difference(after), after, " ")
+                for i in new:
+                    held[i] = after[parts[i]]
             try:
-                out.append(self._start(head) + b"".join(map(of, parts)))
+                out.append(self._start(head) + b"".join(held))
             except TypeError:  # a space beside other white space
                 out.append(self._pieces(text))
         return out
