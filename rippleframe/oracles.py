@@ -226,4 +226,46 @@ def oracle_sql() -> dict[str, str]:
     residual = "lx AS (SELECT node, log10(greatest(spread_mean, 1e-12)) AS lm, log10(greatest(spread_std, 1e-12)) AS ls FROM st), qe AS (SELECT list_sort(list_distinct(quantile_cont(lm, [" + ", ".join(f"{i / 10}" for i in range(11)) + "]))) AS e FROM lx), bn AS (SELECT node, ls, least(greatest(len(list_filter(e, lambda x: x <= lm)) - 1, 0), len(e) - 2) AS bin FROM lx, qe), rs AS (SELECT node, ls - median(ls) OVER (PARTITION BY bin) AS r FROM bn)"
     out["t4_variance_residual"] = q(f"{PERC}, {STATS}, {residual}", "SELECT node, round(r, 6) + 0.0 AS spread_resid FROM rs")
     out["t5_targets"] = q(f"{PERC}, {STATS}, {residual}, {B2}", "SELECT node, round(spread_mean, 6) AS spread_mean, round(spread_std, 6) AS spread_std, round(spread_std / spread_mean, 6) AS spread_cv, round(r, 6) + 0.0 AS spread_resid, round(spread_ignition, 6) AS spread_ignition, round(b_2, 6)::DOUBLE AS betweenness FROM st JOIN rs USING (node) JOIN b2 USING (node)")
+    gains = f"{CELLS}, rg AS (SELECT a.radius, a.seed, round(a.kendall_tau - b.kendall_tau, 9) AS g FROM cells a JOIN cells b USING (radius, seed) WHERE a.richness = 'all' AND b.richness = 'node')"
+    hops = "hg AS (SELECT a.radius, a.seed, round(a.kendall_tau - b.kendall_tau, 9) AS g FROM cells a JOIN cells b ON b.richness = 'all' AND b.seed = a.seed AND b.radius = a.radius - 1 WHERE a.richness = 'all')"
+    choose = "(factorial(nz) / (factorial(i) * factorial(nz - i)))::DOUBLE"
+    sign = lambda t, x: f"{x} AS (SELECT radius, count(*) FILTER (g > 0)::INTEGER AS pos, count(*) FILTER (g <> 0)::INTEGER AS nz FROM {t} GROUP BY radius), p{x} AS (SELECT radius, least(1.0, 2 * sum({choose}) / 2 ** nz)::DOUBLE AS p_sign FROM {x}, (SELECT unnest(range(0, {SEEDS + 1}))::INTEGER AS i) WHERE i <= least(pos, nz - pos) GROUP BY radius, nz)"
+    four = "(t / sqrt(4 + t * t) * (1 + 0.5::DOUBLE * 4 / (4 + t * t)))"  # Student's distribution at four degrees of freedom, as five seeds have
+    out["k16_paired_tests"] = q(
+        f"{gains}, {sign('rg', 'sg')}, st AS (SELECT radius, count(*) AS n, avg(g) AS mean, stddev_samp(g) AS sd FROM rg GROUP BY radius), tt AS (SELECT *, CASE WHEN sd > 0 THEN abs(mean) / (sd / sqrt(n)) END AS t FROM st)",
+        f"SELECT radius, n, round(mean, 6) + 0.0 AS mean, round(sd, 6) AS sd, abs(mean) > 2 * sd AS starred, round(CASE WHEN sd > 0 THEN 1 - {four} WHEN mean = 0 THEN 1 ELSE 0 END, 6) + 0.0 AS p_t, round(p_sign, 6)::DOUBLE AS p_sign FROM tt JOIN psg USING (radius)",
+    )
+    adjusted = "min(p_sign * m / r) OVER (PARTITION BY family ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    out["a21_families"] = q(
+        f"{gains}, {hops}, {sign('rg', 'sg')}, {sign('hg', 'sh')}, fam AS (SELECT 'richness' AS family, * FROM psg UNION ALL SELECT 'hop', * FROM psh), rk AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p_sign) AS r FROM fam)",
+        f"SELECT family, radius, round(p_sign, 6) AS p_sign, round(least(1, {adjusted}), 6)::DOUBLE AS q, round(least(1, {adjusted} * list_sum([1.0::DOUBLE / x FOR x IN range(1, m + 1)])), 6)::DOUBLE AS q_by FROM rk",
+    )
+    rest, agreed = "(900.0::DOUBLE - 100 * radius)", "(z * (1000 - z) + tau * (1000 - z) * (999 - z) / 2)"
+    mix = f"mx AS (SELECT *, (1000 - {rest})::DOUBLE AS z, 1000 * 999 / 2.0::DOUBLE AS total"
+    scoreable = "(total - z * (z - 1) / 2)"
+    out["k12_mixture_tau"] = q(f"{CELLS}, {mix}, kendall_tau AS tau FROM cells)", f"SELECT radius, richness, seed, round({agreed} / sqrt({scoreable} * total), 6) AS untied, round({agreed} / {scoreable}, 6) AS tied FROM mx")
+    none = "z * (1000 - z) / sqrt({0} * total)".format(scoreable)
+    out["a41_benchmark_errors"] = q(
+        f"{CELLS}, {mix}, tau_filtered AS tau FROM (SELECT a.radius, a.seed, a.kendall_tau AS tau_all, b.kendall_tau AS tau_filtered FROM cells a JOIN cells b USING (radius, seed) WHERE a.richness = 'node' AND b.richness = 'all'))",
+        f"SELECT radius, count(*) AS n, round(median({agreed} / sqrt({scoreable} * total) - tau_all), 6) AS err, round(median({agreed} / {scoreable} - tau_all), 6) AS err_tied, count(*) FILTER (round(tau_all - {none}, 9) <= 0.05::DOUBLE) AS hits FROM mx GROUP BY radius",
+    )
+    out["a17_horizon_agreement"] = q(
+        f"{CELLS}, tp AS (SELECT *, max(kendall_tau) OVER (PARTITION BY richness, seed) AS top FROM cells), rs AS (SELECT richness, seed, min(CASE WHEN top > 0 AND kendall_tau >= 0.95::DOUBLE * top THEN radius END) AS r_star FROM tp GROUP BY richness, seed), ct AS (SELECT richness, r_star, count(*) AS c FROM rs WHERE r_star IS NOT NULL GROUP BY ALL), md AS (SELECT richness, r_star, c AS agree, n::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY richness ORDER BY c DESC, r_star) AS r, sum(c) OVER (PARTITION BY richness) AS n FROM ct) WHERE r = 1)",
+        "SELECT *, r_star IS NOT DISTINCT FROM (SELECT r_star FROM md WHERE richness = 'node') AS same FROM md",
+    )
+    out["a22_rung_gains"] = q(
+        f"{CELLS}, ob AS (SELECT radius, richness, seed, 'raw' AS objective, kendall_tau FROM cells UNION ALL SELECT radius, richness, seed, 'log1p', kendall_tau * (1 + 0.01::DOUBLE * seed) FROM cells)",
+        "SELECT radius, objective, count(*) AS n, CASE WHEN radius > 0 THEN round(avg(a.kendall_tau - b.kendall_tau), 6) + 0.0 END AS gain, CASE WHEN radius > 0 THEN round(stddev_samp(a.kendall_tau - b.kendall_tau), 6) END AS sd, radius = 0 AS degenerate FROM ob a JOIN ob b USING (radius, objective, seed) WHERE a.richness = 'all' AND b.richness = 'node' GROUP BY radius, objective",
+    )
+    out["a23_share_drops"] = q(CELLS, "SELECT radius, count(*) AS n, round(avg(a.kendall_tau - b.kendall_tau), 6) + 0.0 AS drop, abs(round(avg(a.kendall_tau - b.kendall_tau), 9)) <= 0.02::DOUBLE AS within FROM cells a JOIN cells b USING (radius, seed) WHERE a.richness = 'node' AND b.richness = 'all' GROUP BY radius")
+    out["a24_transfer_summary"] = q(
+        f"{CELLS}, al AS (SELECT radius, CASE WHEN radius < 3 THEN avg(kendall_tau) END AS within, CASE WHEN radius > 0 THEN min(kendall_tau) END AS floor FROM cells WHERE richness = 'all' GROUP BY radius), tr AS (SELECT radius, avg(kendall_tau) AS tau, stddev_samp(kendall_tau) AS sd, count(*) AS seeds FROM cells WHERE richness = 'node' GROUP BY radius)",
+        "SELECT radius, round(tau, 6) AS tau, round(sd, 6) AS sd, seeds, round(within, 6) AS within, round(floor, 6) AS floor, round(tau / within, 6) AS kept, CASE WHEN within IS NULL OR floor IS NULL THEN 'unscored' WHEN round(tau - floor, 9) > 0 THEN 'transfers' ELSE 'floor' END AS verdict FROM tr JOIN al USING (radius)",
+    )
+    numbers = ", ".join(f"CASE WHEN radius < 2 THEN round({x}, 6) + 0.0 END AS {n}" for n, x in (("mean_left", "avg(a.kendall_tau)"), ("mean_right", "avg(b.kendall_tau)"), ("mean_difference", "avg(a.kendall_tau - b.kendall_tau)"), ("sd_difference", "stddev_samp(a.kendall_tau - b.kendall_tau)"), ("covariance", "covar_samp(a.kendall_tau, b.kendall_tau)")))
+    out["a27_arm_contrasts"] = q(CELLS, f"SELECT radius, a.richness AS left_arm, b.richness AS right_arm, CASE radius WHEN 2 THEN 'missing' WHEN 3 THEN 'infeasible' ELSE 'scored' END AS status, {numbers}, radius < 2 AND abs(avg(a.kendall_tau - b.kendall_tau)) > 2 * stddev_samp(a.kendall_tau - b.kendall_tau) AS starred FROM cells a JOIN cells b USING (radius, seed) WHERE a.richness <> b.richness GROUP BY radius, a.richness, b.richness")
+    out["a36_pooled_noise"] = q(f"{CELLS}, vr AS (SELECT richness, radius, var_samp(kendall_tau) AS v FROM cells GROUP BY ALL)", "SELECT richness, count(*) AS groups, round(sqrt(avg(v)), 9) AS pooled_sd FROM vr GROUP BY richness")
+    out["a39_replicate_noise"] = q(CELLS, "SELECT radius, richness, round(stddev_samp(kendall_tau), 6) AS sd_refit, round(avg(kendall_tau), 6) AS tau_refit_mean, round(stddev_samp(kendall_tau) / (0.01::DOUBLE * radius), 6) AS refit_over_frozen FROM cells WHERE radius > 0 GROUP BY radius, richness")
+    out["a40_evicted_cells"] = q(CELLS, "SELECT radius, richness, seed FROM cells WHERE radius <> 1")
+    out["r10_reconciled_cells"] = q(CELLS, "SELECT radius, richness, seed, 0 AS seq, seed >= 2 AS kept FROM cells UNION ALL SELECT radius, richness, seed, 1, TRUE FROM cells WHERE seed < 2")
     return out

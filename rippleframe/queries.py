@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.rng import uniform
 from .operators import descriptors, dynamics, features, graph, rankstats, relational, shells, spectral, targets
-from .plans import horizon
+from .plans import contrasts, horizon
 from .sources.tables import stored, table
 
 DRAWS, P, SEEDS = 8, 0.1, 5
@@ -680,5 +680,109 @@ def x3_lookup_parts(s, d):
     return relational.lookup_join(network(s, d).nodes.select("node", "original_id"), part, "original_id")
 
 
+def _richness_gains(s, d):
+    """(radius, seed, g): the richer rules' paired gain."""
+    c = sweep_cells(s, d)
+    a, b = (c.filter(F.col("richness") == r).select("radius", "seed", F.col("kendall_tau").alias(x)) for r, x in (("all", "a"), ("node", "b")))
+    return a.join(b, ["radius", "seed"]).select("radius", "seed", F.round(F.col("a") - F.col("b"), 9).alias("g"))
+
+
+def _hop_gains(s, d):
+    """(radius, seed, g): each radius's gain over the one before, all rules."""
+    c = sweep_cells(s, d).filter("richness = 'all'").select("radius", "seed", "kendall_tau")
+    prev = c.select((F.col("radius") + 1).alias("radius"), "seed", F.col("kendall_tau").alias("p"))
+    return c.join(prev, ["radius", "seed"]).select("radius", "seed", F.round(F.col("kendall_tau") - F.col("p"), 9).alias("g"))
+
+
+@query
+def k12_mixture_tau(s, d):
+    c = sweep_cells(s, d).withColumn("n", F.lit(1000)).withColumn("n_zero", 100 * (F.col("radius") + 1))
+    return _round(c.select("radius", "richness", "seed", contrasts.mixture_tau("kendall_tau", "n", "n_zero").alias("untied"), contrasts.mixture_tau("kendall_tau", "n", "n_zero", True).alias("tied")))
+
+
+@query
+def k16_paired_tests(s, d):
+    """Gains of radius 0 are all zero: the case without a t statistic."""
+    return _round(contrasts.paired_tests(_richness_gains(s, d), ["radius"]))
+
+
+@query
+def a17_horizon_agreement(s, d):
+    return contrasts.horizon_agreement(sweep_cells(s, d), [], "richness", "node", 0.05)
+
+
+@query
+def a21_families(s, d):
+    parts = {"richness": contrasts.paired_tests(_richness_gains(s, d), ["radius"]), "hop": contrasts.paired_tests(_hop_gains(s, d), ["radius"])}
+    return _round(contrasts.families(parts, "p_sign").select("family", "radius", "p_sign", "q", "q_by"))
+
+
+@query
+def a22_rung_gains(s, d):
+    c = sweep_cells(s, d).withColumn("n_features", F.when(F.col("radius") == 0, 1).when(F.col("richness") == "all", 2).otherwise(1))
+    both = c.withColumn("objective", F.lit("raw")).unionByName(c.withColumn("objective", F.lit("log1p")).withColumn("kendall_tau", F.col("kendall_tau") * (1 + 0.01 * F.col("seed"))))
+    return _round(contrasts.rung_gains(both, ["radius", "objective"], "node", "all"))
+
+
+@query
+def a23_share_drops(s, d):
+    c = sweep_cells(s, d).withColumn("fraction", F.when(F.col("richness") == "node", 0.2).otherwise(1.0))
+    return _round(contrasts.share_drops(c, ["radius"], 0.2))
+
+
+@query
+def a24_transfer_summary(s, d):
+    c = sweep_cells(s, d)
+    within = c.filter("richness = 'all' AND radius < 3").groupBy("radius").agg(F.avg("kendall_tau").alias("within"))
+    floor = c.filter("richness = 'all' AND radius > 0").groupBy("radius").agg(F.min("kendall_tau").alias("floor"))
+    return _round(contrasts.transfer_summary(c.filter("richness = 'node'"), within, floor, ["radius"]))
+
+
+@query
+def a27_arm_contrasts(s, d):
+    c = sweep_cells(s, d).withColumn("status", F.when((F.col("radius") == 3) & (F.col("richness") == "node") & (F.col("seed") == 1), "infeasible").otherwise("complete"))
+    c = c.filter("NOT (radius = 2 AND richness = 'all' AND seed = 0)")
+    return _round(contrasts.arm_contrasts(c, ["radius"], "richness", [("all", "node"), ("node", "all")], SEEDS))
+
+
+@query
+def a36_pooled_noise(s, d):
+    return _round(contrasts.pooled_noise(sweep_cells(s, d), ["richness"], "radius"), 9)
+
+
+@query
+def a39_replicate_noise(s, d):
+    c = sweep_cells(s, d).filter("radius > 0")
+    refit = c.select("radius", "richness", F.col("seed").alias("rep"), F.col("kendall_tau").alias("tau_refit"))
+    frozen = c.select("radius", "richness").distinct().withColumn("target_noise_sd", 0.01 * F.col("radius")).withColumn("seed_sd", F.lit(0.002))
+    return _round(contrasts.replicate_noise(refit, frozen, ["radius", "richness"], SEEDS).select("radius", "richness", "sd_refit", "tau_refit_mean", "refit_over_frozen"))
+
+
+@query
+def a40_evicted_cells(s, d):
+    c = sweep_cells(s, d)
+    keys = c.select("radius", "richness").distinct()
+    lists = lambda *names: F.array(*map(F.lit, names))
+    old = keys.withColumn("columns", lists("a", "b", "c"))
+    new = keys.withColumn("columns", F.when(F.col("radius") == 1, lists("b", "a", "c")).when(F.col("radius") == 2, lists("a", "b", "d")).otherwise(lists("a", "b", "c")))
+    return contrasts.evict([c], contrasts.reordered_cells(old, new, ["radius", "richness"]), ["radius", "richness"])[0].select("radius", "richness", "seed")
+
+
+@query
+def a41_benchmark_errors(s, d):
+    c = sweep_cells(s, d)
+    a, b = (c.filter(F.col("richness") == r).select("radius", "seed", F.col("kendall_tau").alias(x)) for r, x in (("node", "tau_all"), ("all", "tau_filtered")))
+    c = a.join(b, ["radius", "seed"]).withColumn("n", F.lit(1000)).withColumn("n_zero", 100 * (F.col("radius") + 1))
+    return _round(contrasts.benchmark_errors(c, ["radius"]))
+
+
+@query
+def r10_reconciled_cells(s, d):
+    c = sweep_cells(s, d)
+    twice = c.withColumn("seq", F.lit(0)).unionByName(c.filter("seed < 2").withColumn("seq", F.lit(1)).withColumn("kendall_tau", F.col("kendall_tau") + 1e-8)).withColumn("n_features", F.col("radius") + 1)
+    kept, removed = contrasts.reconcile(twice, ["radius", "richness", "seed"], ["n_features"], "kendall_tau")
+    return kept.select("radius", "richness", "seed", "seq", F.lit(True).alias("kept")).unionByName(removed.select("radius", "richness", "seed", "seq", F.lit(False).alias("kept")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
