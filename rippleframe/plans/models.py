@@ -38,9 +38,9 @@ def _forest(seed: int):
 
 
 def _ridge(seed: int):
-    from pyspark.ml.regression import LinearRegression
+    from .ridge import RidgeGrid
 
-    return LinearRegression(regParam=1e-3, elasticNetParam=0.0, standardization=True)
+    return RidgeGrid()
 
 
 def _boosted(leaf: int) -> Callable:
@@ -107,6 +107,30 @@ def locality_sweep(x: DataFrame, y: DataFrame, target: str, radii: list[int], ti
     return reduce(DataFrame.unionByName, rows)
 
 
+def add_one(x: DataFrame, y: DataFrame, base: list[str], extra: list[str], estimator: str, target: str, seeds: list[int]) -> DataFrame:
+    """(column, seed, metrics): out-of-fold quality of the base columns (column null) and of base with each extra column, on the same folds."""
+    out = []
+    for column in (None, *extra):
+        for s in seeds:
+            p = out_of_fold(x, y, [*base, column] if column else base, estimator, target, s).withColumn("cell", F.lit(0))
+            out.append(evaluate(p, ["cell"]).drop("cell").select(F.lit(column).cast("string").alias("column"), F.lit(s).alias("seed"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def held_out_r2(x: DataFrame, column: str, others: list[str], estimator: str = "hgb", seed: int = 0, test: float = 0.3) -> float | None:
+    """R squared, on a hash-drawn share of the rows, of rebuilding column from others; None without others or for a constant column."""
+    from pyspark.ml.feature import VectorAssembler
+
+    low, high = x.agg(F.min(column), F.max(column)).first()
+    if not others or low == high:
+        return None
+    data = VectorAssembler(inputCols=others, outputCol="features").transform(x.select("node", F.col(column).cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in others]))
+    data = stored(data.select("features", "label", (uniform("node", F.lit(seed), F.lit("t")) < test).alias("_test")), "rebuilt")
+    p = ESTIMATORS[estimator](seed).fit(data.filter("NOT _test")).transform(data.filter("_test"))
+    r = p.agg(F.sum((F.col("label") - F.col("prediction")) ** 2).alias("left"), (F.var_pop("label") * F.count("*")).alias("all")).first()
+    return 1 - r["left"] / r["all"] if r["all"] else None
+
+
 def transfer(tables: dict[str, tuple[DataFrame, DataFrame]], columns: list[str], estimator: str, seed: int, most: int = 2000) -> DataFrame:
     """(source-left-out network, node, y, pred): targets as percentile ranks within their network, at most ``most`` hash-drawn rows from each source."""
     from pyspark.ml.feature import VectorAssembler

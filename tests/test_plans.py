@@ -85,3 +85,41 @@ def test_table_shapes(spark):
     assert sorted((r.k or 0, r.word or "") for r in got) == [(0, ""), (1, "one"), (1, "one"), (3, "")]
     with pytest.raises(Exception, match="repeated key"):
         relational.lookup_join(spark.createDataFrame([(2,)], "k long"), ref.unionAll(ref), "k").collect()
+
+
+def test_ridge_grid_equals_leaving_rows_out(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from rippleframe.plans.ridge import RidgeGrid
+
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(1e6, 1, 40), rng.normal(0, 50, 40), np.full(40, 3.0), rng.uniform(0, 1e-3, 40)])
+    y = 0.5 * x[:, 0] + 0.01 * x[:, 1] + rng.normal(0, 1, 40)
+    penalties = np.array([0.01, 1.0, 10.0, 1000.0])
+    df = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y, strict=True)], ["features", "label"]).repartition(3)
+    model = RidgeGrid(penalties).fit(df)
+    sd = x.std(axis=0)
+    z = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)  # the scaler is fitted once, on all rows
+
+    def fitted(keep, penalty):
+        c, m = z[keep] - z[keep].mean(axis=0), y[keep].mean()
+        w = np.linalg.solve(c.T @ c + penalty * np.eye(4), c.T @ (y[keep] - m))
+        return lambda row: m + (row - z[keep].mean(axis=0)) @ w
+
+    every = np.arange(40)
+    errors = [np.mean([(y[i] - fitted(every != i, p)(z[i])) ** 2 for i in every]) for p in penalties]
+    assert np.allclose(model.errors, errors, rtol=1e-6) and model.penalty == penalties[int(np.argmin(errors))]
+    got = {round(r.label, 9): r.prediction for r in model.transform(df).collect()}
+    whole = fitted(every >= 0, model.penalty)
+    assert all(abs(got[round(b, 9)] - whole(a)) < 1e-5 for a, b in zip(z, y.tolist(), strict=True))
+
+
+def test_add_one_and_rebuilding(tables):
+    _, x, y = tables
+    rows = models.add_one(x, y, ["degree"], ["edges_leaving_ego"], "ridge", "b_2", [0]).collect()
+    by = {r.column: r for r in rows}
+    assert set(by) == {None, "edges_leaving_ego"} and by["edges_leaving_ego"].rmse < by[None].rmse
+    assert models.held_out_r2(x, "ego_net_size", ["degree"], "ridge") > 0.999  # degree + 1
+    assert models.held_out_r2(x, "degree", [], "ridge") is None
+    assert models.held_out_r2(x.withColumn("flat", F.lit(1.0)), "flat", ["degree"], "ridge") is None
