@@ -170,7 +170,7 @@ def test_simhash_edges_of_input(odd, empty):
 def test_encoder_equals_library():
     e = tokens.encoder(tokens.default_vocabulary())
     rng = random.Random(4)
-    parts = ["a", " ", "  ", "\n", "\t", "é", "'s", "1", "22", ".", "!?", " ", "　", "中", "\x1c", "don't", "_", "\r\n", "🙂", "²", "<|endoftext|>", "\x85", ",", "Word"]
+    parts = ["a", " ", "  ", "\n", "\t", "é", "'s", "1", "22", ".", "!?", " ", "　", "中", "\x1c", "don't", "_", "\r\n", "🙂", "²", "<|endoftext|>", "\x85", ",", "Word", "%%%", "''", "#_", "$+~"]
     many = [t or "" for t in texts()] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     many += ["<|endoftext|>", "a <|endoftext|> b", " x<|endoftext|>  <|endoftext|>y z"]
     spans = tokens.offset_encoder(tokens.default_vocabulary()).spans(many)
