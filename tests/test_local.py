@@ -67,3 +67,24 @@ def test_wide_blocks_are_halved(spark, net, monkeypatch):
     with pytest.raises(local.TooWide):
         local.expand(g, g.ptr[:-1] * 0 + range(net.n))
     assert len(local.expand(g, g.ptr[:-1] * 0 + range(net.n), False)[0]) == 2 * net.m
+
+
+def test_cascades_and_outbreaks_from_every_node(net):
+    arcs = dynamics.arc_probability(net, "weighted")
+    same(dynamics.direct_cascades(arcs, net, 1, 1), dynamics.direct_cascades(arcs, net.nodes.select("node"), 1, 1))
+    same(dynamics.sir(net, None, 0.05, 0.9, 1), dynamics.sir(net, net.nodes.select("node"), 0.05, 0.9, 1))
+
+
+def test_percolation_labels(net, monkeypatch):
+    edges = net.edges.selectExpr("u", "v", "0.3 p")
+    packed = dynamics.percolation(net, edges, 3)
+    none = dynamics.percolation(net, net.edges.selectExpr("u", "v", "0.0 p"), 2)
+    assert none.filter("comp = node AND size = 1").count() == 2 * net.n
+    monkeypatch.setattr(local, "MOST_ARCS", 0)
+    same(packed, dynamics.percolation(net, edges, 3))
+
+
+def test_ego_betweenness_needs_no_wedges(net, monkeypatch):
+    packed = features.ego_betweenness(net)
+    monkeypatch.setattr(local, "MOST_ARCS", 0)
+    same(packed, features.ego_betweenness(net))
