@@ -1,8 +1,10 @@
 """Induced graphlets of three, four and five nodes: orbit counts per node and per edge.
 
-Connected induced node sets are enumerated once each by growing paths of links and removing repeats as sorted arrays; a
-set's adjacency bits index a small table made on the driver from all graphs of that size, which names the class and the
-orbit of each position. Column names carry the class and orbit in canonical order (no external numbering is used).
+Orbits of four nodes are counted source by source over the packed network from the common neighbours of linked nodes
+(local.four_sets); no node set is listed. For other sizes, and networks that do not fit, connected induced node sets are
+enumerated once each by growing paths of links and removing repeats as sorted arrays. A set's adjacency bits index a small
+table made on the driver from all graphs of that size, which names the class and the orbit of each position. Column names
+carry the class and orbit in canonical order (no external numbering is used).
 """
 
 from __future__ import annotations
@@ -10,10 +12,12 @@ from __future__ import annotations
 from functools import lru_cache
 from itertools import combinations, permutations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
+from . import local
 from .graph import Network
 
 
@@ -87,8 +91,50 @@ def _orbit_rows(net: Network, size: int) -> DataFrame:
     return coded_sets(net, size).join(F.broadcast(table), "code")  # at most 1,024 rows
 
 
+def _places(*links: tuple[int, int]) -> tuple[int, tuple[int, ...]]:
+    """Class and orbit of each position of a graph of four nodes."""
+    pairs = list(combinations(range(4), 2))
+    return tables(4)[0][sum(1 << pairs.index(x) for x in links)]
+
+
+PATH, STAR, CYCLE = ((0, 1), (1, 2), (2, 3)), ((0, 1), (0, 2), (0, 3)), ((0, 1), (0, 3), (1, 2), (2, 3))
+PAW, DIAMOND, CLIQUE = ((0, 1), (0, 2), (1, 2), (0, 3)), ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3)), tuple(combinations(range(4), 2))
+#: Graph, position, count of local.four_sets() and how often the sum over a node's arcs has each set.
+NODE_ORBITS_4 = (
+    (PATH, 0, "end_in", 1), (PATH, 1, "middle", 1), (STAR, 0, "star_out", 3), (STAR, 1, "star_in", 1), (CYCLE, 0, "cycle", 2), (PAW, 0, "tail_out", 1),
+    (PAW, 1, "base", 1), (PAW, 3, "tail_in", 1), (DIAMOND, 0, "spine", 1), (DIAMOND, 2, "rim_in", 2), (CLIQUE, 0, "clique", 3),
+)
+
+
+def _four(net: Network, schema: str, parts) -> DataFrame:
+    """Rows of the schema from the column tuples that parts(sources, row, neighbour, counts) gives for blocks of sources."""
+    tri = net.nodes.sparkSession.sparkContext.broadcast(local.triangles(net))  # 8 bytes a node
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    kinds = [{"int": np.int32, "long": np.int64, "double": np.float64}[c.strip().split(" ")[1]] for c in schema.split(",")]
+
+    def kernel(g: local.Packed, src: np.ndarray) -> dict:
+        columns = zip(*parts(src, *local.four_sets(g, src, tri.value)), strict=True)
+        return {c: np.concatenate(x).astype(k) for c, k, x in zip(names, kinds, columns, strict=True)}
+
+    return local.per_source(net, schema, kernel)
+
+
+def _node_orbits_4(net: Network) -> DataFrame:
+    def parts(src, row, v, counts):
+        for links, x, name, times in NODE_ORBITS_4:
+            cls, orbit = _places(*links)
+            n = np.zeros(len(src), np.int64)
+            np.add.at(n, row, counts[name])
+            at = np.flatnonzero(n)
+            yield src[at], np.full(len(at), cls), np.full(len(at), orbit[x]), n[at] // times
+
+    return _four(net, "node long, cls int, orbit int, n long", parts)
+
+
 def node_orbits(net: Network, size: int) -> DataFrame:
     """(node, cls, orbit, n): in how many induced graphlets of a class the node is at a place of an orbit."""
+    if size == 4 and local.fits(net):
+        return _node_orbits_4(net)
     at = F.explode(F.arrays_zip(F.col("s").alias("node"), F.col("orbits").alias("orbit")))
     return _orbit_rows(net, size).select("cls", at.alias("x")).groupBy(F.col("x.node").alias("node"), "cls", F.col("x.orbit").alias("orbit")).agg(F.count("*").alias("n"))
 

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from rippleframe.operators import dynamics, features, graph, local, rankstats, shells, targets
+from rippleframe.operators import dynamics, features, graph, local, motifs, rankstats, shells, targets
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +89,27 @@ def test_ego_betweenness_needs_no_wedges(net, monkeypatch):
     packed = features.ego_betweenness(net)
     monkeypatch.setattr(local, "MOST_ARCS", 0)
     same(packed, features.ego_betweenness(net))
+
+
+def test_four_node_orbits_list_no_sets(spark, net, monkeypatch):
+    rng = random.Random(9)
+    dense = [(100 + rng.randrange(12), 100 + rng.randrange(12)) for _ in range(45)] + [(200 + a, 200 + b) for a in range(5) for b in range(a)] + [(300, 301)]
+    some = graph.build_network(net.edges.unionByName(spark.createDataFrame(dense, "u long, v long")), False)
+    some = graph.Network(some.nodes.unionByName(spark.createDataFrame([(some.n, 999, 0)], "node long, original_id long, degree long")), some.edges)
+    counts = [motifs.node_orbits]
+    with monkeypatch.context() as m:
+        m.setattr(local, "MOST_ARCS", 0)
+        listed = [f(some, 4).localCheckpoint() for f in counts]
+    monkeypatch.setattr(motifs, "connected_sets", None)
+    for f, want in zip(counts, listed, strict=True):
+        same(f(some, 4), want)
+
+
+def test_four_sets_in_runs(net, monkeypatch):
+    g, tri = local.Packed(*net.packed.value), local.triangles(net)
+    whole = local.four_sets(g, np.arange(g.n), tri)[2]
+    assert all((x >= 0).all() for x in whole.values())
+    monkeypatch.setattr(local, "WIDE", 8)
+    parts = [local.four_sets(g, np.array([x]), tri)[2] for x in range(g.n)]
+    assert all((np.concatenate([p[c] for p in parts]) == whole[c]).all() for c in whole)
+    assert [(s.start, s.stop) for s in local.runs(np.array([1, 1, 9, 1, 1, 1]), 2)] == [(0, 2), (2, 3), (3, 5), (5, 6)]
