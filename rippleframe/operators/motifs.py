@@ -104,6 +104,11 @@ NODE_ORBITS_4 = (
     (PATH, 0, "end_in", 1), (PATH, 1, "middle", 1), (STAR, 0, "star_out", 3), (STAR, 1, "star_in", 1), (CYCLE, 0, "cycle", 2), (PAW, 0, "tail_out", 1),
     (PAW, 1, "base", 1), (PAW, 3, "tail_in", 1), (DIAMOND, 0, "spine", 1), (DIAMOND, 2, "rim_in", 2), (CLIQUE, 0, "clique", 3),
 )
+#: Graph, positions of a link and the counts that add up to its own.
+EDGE_ORBITS_4 = (
+    (PATH, 0, 1, ("end_out", "end_in")), (PATH, 1, 2, ("middle",)), (STAR, 0, 1, ("star_out", "star_in")), (CYCLE, 0, 1, ("cycle",)), (PAW, 0, 3, ("tail_out", "tail_in")),
+    (PAW, 0, 1, ("fork_out", "fork_in")), (PAW, 1, 2, ("base",)), (DIAMOND, 0, 1, ("spine",)), (DIAMOND, 0, 2, ("rim_out", "rim_in")), (CLIQUE, 0, 1, ("clique",)),
+)
 
 
 def _four(net: Network, schema: str, parts) -> DataFrame:
@@ -119,6 +124,13 @@ def _four(net: Network, schema: str, parts) -> DataFrame:
     return local.per_source(net, schema, kernel)
 
 
+def _link_orbits(counts: dict[str, np.ndarray]):
+    """(class, smaller orbit, larger orbit, count of each arc's link)."""
+    for links, x, y, names in EDGE_ORBITS_4:
+        cls, orbit = _places(*links)
+        yield cls, min(orbit[x], orbit[y]), max(orbit[x], orbit[y]), sum(counts[c] for c in names)
+
+
 def _node_orbits_4(net: Network) -> DataFrame:
     def parts(src, row, v, counts):
         for links, x, name, times in NODE_ORBITS_4:
@@ -131,6 +143,29 @@ def _node_orbits_4(net: Network) -> DataFrame:
     return _four(net, "node long, cls int, orbit int, n long", parts)
 
 
+def _edge_orbits_4(net: Network) -> DataFrame:
+    def parts(src, row, v, counts):
+        for cls, a, b, n in _link_orbits(counts):
+            at = np.flatnonzero((n > 0) & (src[row] < v))
+            yield src[row[at]], v[at], np.full(len(at), cls), np.full(len(at), a), np.full(len(at), b), n[at]
+
+    return _four(net, "u long, v long, cls int, a int, b int, n long", parts)
+
+
+def _edge_orbit_features_4(net: Network) -> DataFrame:
+    def parts(src, row, v, counts):
+        k = np.bincount(row, minlength=len(src))
+        for cls, a, b, n in _link_orbits(counts):
+            top = np.zeros(len(src), np.int64)
+            np.maximum.at(top, row, n)
+            at = np.flatnonzero(top)
+            x = n.astype(float)
+            mean, square = (np.bincount(row, w, len(src))[at] / k[at] for w in (x, x * x))
+            yield src[at], np.full(len(at), cls), np.full(len(at), a), np.full(len(at), b), mean, top[at], np.sqrt(np.maximum(square - mean * mean, 0.0))
+
+    return _four(net, "node long, cls int, a int, b int, mean double, max double, std double", parts)
+
+
 def node_orbits(net: Network, size: int) -> DataFrame:
     """(node, cls, orbit, n): in how many induced graphlets of a class the node is at a place of an orbit."""
     if size == 4 and local.fits(net):
@@ -141,6 +176,8 @@ def node_orbits(net: Network, size: int) -> DataFrame:
 
 def edge_orbits(net: Network, size: int) -> DataFrame:
     """(u, v, cls, a, b, n): the same for links; an edge orbit is named by the orbits of its two ends, smaller first."""
+    if size == 4 and local.fits(net):
+        return _edge_orbits_4(net)
     pairs = list(combinations(range(size), 2))
     r = _orbit_rows(net, size)
     each = F.explode(F.array(*[F.struct(F.lit(1 << i).alias("bit"), F.col("s")[a].alias("u"), F.col("s")[b].alias("v"), F.least(F.col("orbits")[a], F.col("orbits")[b]).alias("a"), F.greatest(F.col("orbits")[a], F.col("orbits")[b]).alias("b")) for i, (a, b) in enumerate(pairs)]))
@@ -161,6 +198,8 @@ def orbit_features(net: Network, size: int) -> DataFrame:
 
 def edge_orbit_features(net: Network, size: int) -> DataFrame:
     """(node, cls, a, b, mean, max, std): summary over the incident links, absent orbits counting as 0."""
+    if size == 4 and local.fits(net):
+        return _edge_orbit_features_4(net)
     e = edge_orbits(net, size).select(F.explode(F.array("u", "v")).alias("node"), "cls", "a", "b", "n")
     s = e.groupBy("node", "cls", "a", "b").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("q"), F.max("n").alias("max")).join(net.degree, "node")
     mean = F.col("t") / F.col("k")

@@ -96,7 +96,7 @@ def test_four_node_orbits_list_no_sets(spark, net, monkeypatch):
     dense = [(100 + rng.randrange(12), 100 + rng.randrange(12)) for _ in range(45)] + [(200 + a, 200 + b) for a in range(5) for b in range(a)] + [(300, 301)]
     some = graph.build_network(net.edges.unionByName(spark.createDataFrame(dense, "u long, v long")), False)
     some = graph.Network(some.nodes.unionByName(spark.createDataFrame([(some.n, 999, 0)], "node long, original_id long, degree long")), some.edges)
-    counts = [motifs.node_orbits]
+    counts = [motifs.node_orbits, motifs.edge_orbits, motifs.edge_orbit_features]
     with monkeypatch.context() as m:
         m.setattr(local, "MOST_ARCS", 0)
         listed = [f(some, 4).localCheckpoint() for f in counts]
