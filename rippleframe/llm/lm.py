@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS_LOWER, Words, materialize, slices, word_hashes
+from .common import WS_LOWER, Words, keep_pages, materialize, mix64, slices, word_hashes
 
 FREQUENT, HASHED, SIDE, WIDTH, HIDDEN = 191, 64, 2, 12, 24
 #: The last class stands beyond the ends of a text.
@@ -33,6 +33,8 @@ BLOCK_WORDS, RUN_WORDS = 2_000_000, 1 << 16
 #: Weights are averaged as multiples of 2**-24, shares of words as multiples of 2**-30.
 FINE, SHARE = float(1 << 24), float(1 << 30)
 _LINE = 1024
+_ONES = np.ones(CLASSES, np.float32)
+_CELL = np.arange(CLASSES * WIDTH).reshape(CLASSES, WIDTH)
 
 
 @dataclass
@@ -65,18 +67,23 @@ class Network:
         """What each class adds to the hidden layer from each side position."""
         return np.stack([self.embed @ self.hidden[j * WIDTH : (j + 1) * WIDTH] for j in range(2 * SIDE)])
 
+    def _layers(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hidden layer of its inputs x with a column of ones, and the classes' sums with their biases."""
+        h = np.ones((len(x), HIDDEN + 1), np.float32)
+        np.tanh(x, out=h[:, :HIDDEN])
+        z = h @ np.vstack([self.out, self.out_bias])
+        return h, z
+
     def log_probs(self, context: np.ndarray, target: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
         table = self.table() if table is None else table
-        h = self.hidden_bias + table[0][context[:, 0]]
+        x = self.hidden_bias + table[0].take(context[:, 0], axis=0)
         for j in range(1, 2 * SIDE):
-            h += table[j][context[:, j]]
-        np.tanh(h, out=h)
-        z = h @ self.out
-        z += self.out_bias
+            x += table[j].take(context[:, j], axis=0)
+        _, z = self._layers(x)
         own = z[np.arange(len(target)), target]
         top = self._top(z)
         np.exp(z, out=z)
-        return own - top - np.log(z.sum(axis=1))
+        return own - top - np.log(z @ _ONES)
 
     def _top(self, z: np.ndarray) -> np.ndarray | float:
         """Takes each row's maximum off z where the weights do not bound z well inside float32's exponents."""
@@ -87,23 +94,24 @@ class Network:
         return top
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        n = len(target)
-        x = self.embed[context].reshape(n, -1)
-        h = np.tanh(x @ self.hidden + self.hidden_bias)
-        z = h @ self.out
-        z += self.out_bias
+        n, at = len(target), context.ravel()
+        x = self.embed.take(at, axis=0).reshape(n, -1)
+        h, z = self._layers(x @ self.hidden + self.hidden_bias)
         self._top(z)
         np.exp(z, out=z)
-        z *= (1 / (n * z.sum(axis=1)))[:, None]
-        z[np.arange(n), target] -= np.float32(1 / n)
-        dh = (z @ self.out.T) * (1 - h * h)
-        dx = (dh @ self.hidden.T).reshape(n, 2 * SIDE, WIDTH)
-        self.out -= rate * (h.T @ z)
-        self.out_bias -= rate * z.sum(axis=0)
+        total = z @ _ONES
+        z[np.arange(n), target] -= total
+        scale = (1 / (n * total))[:, None]  # by which a row of z is the gradient; the narrow factors take it
+        own = h[:, :HIDDEN]
+        dh = (z @ self.out.T) * (scale * (1 - own * own))
+        dx = dh @ self.hidden.T
+        h *= scale
+        out = (z.T @ h).T
+        self.out -= rate * out[:HIDDEN]
+        self.out_bias -= rate * out[HIDDEN]
         self.hidden -= rate * (x.T @ dh)
         self.hidden_bias -= rate * dh.sum(axis=0)
-        cell = (context[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
-        self.embed -= rate * np.bincount(cell, dx.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH).astype(np.float32)
+        self.embed -= rate * np.bincount(_CELL.take(at, axis=0).ravel(), dx.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH).astype(np.float32)
 
 
 @dataclass
@@ -114,17 +122,20 @@ class Vocabulary:
     total: np.ndarray
     prior: np.ndarray
     order: np.ndarray = field(init=False)
+    maybe: np.ndarray = field(init=False)
 
     def __post_init__(self):
         self.order = np.argsort(self.frequent)
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self.frequent >> np.uint64(48)] = True
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
         out = FREQUENT + (hashes >> np.uint64(33)).astype(np.int64) % HASHED
-        if len(self.frequent):
-            held = self.frequent[self.order]
-            i = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
-            same = held[i] == hashes
-            out[same] = self.order[i[same]]
+        held, at = self.frequent[self.order], np.flatnonzero(self.maybe[hashes >> np.uint64(48)])
+        if len(at):
+            i = np.minimum(np.searchsorted(held, hashes[at]), len(held) - 1)
+            same = held[i] == hashes[at]
+            out[at[same]] = self.order[i[same]]
         return out
 
 
@@ -132,6 +143,7 @@ def build_vocabulary(rows: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """From counts of every word of rows (id, text); also the table (h, n) of these counts."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_pages()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged():
@@ -172,6 +184,7 @@ def class_rows(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)  # fixed size
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_pages()
         for batch in it:
             for part in slices(batch, "text"):
                 w = Words(part.column("text"), WS_LOWER)
@@ -187,7 +200,7 @@ def class_rows(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def _contexts(own: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """The classes of each place's neighbours, EDGE beyond the ends of a text."""
     n = len(own)
-    context = np.full((n, 2 * SIDE), EDGE, np.int64)
+    context = np.full((2 * SIDE, n), EDGE, np.int64).T  # a side's neighbours lie together
     for j, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         a, b = max(0, -d), n - max(0, d)
         if b > a:
@@ -216,6 +229,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Net
         shared = texts.sparkSession.sparkContext.broadcast(flat)  # fixed size
 
         def run(it: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
+            keep_pages()
             sums, places = np.zeros(len(shared.value), object), 0  # whole numbers of any size
             net, seen, block, held, words = None, 0, None, [], 0
 
@@ -268,13 +282,14 @@ def _rare(rows: DataFrame, words: DataFrame, vocabulary: Vocabulary) -> DataFram
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)  # fixed size
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_pages()
         for batch in it:
             for part in slices(batch, "text"):
                 w = Words(part.column("text"), WS_LOWER)
                 h, doc = word_hashes(w), w.doc()
                 at = shared.value.classes(h) >= FREQUENT
                 h, doc = h[at], doc[at]
-                order = np.lexsort((h, doc))
+                order = np.argsort(h ^ mix64(doc.astype(np.uint64) + np.uint64(1)))  # equal words of a text come together
                 h, doc = h[order], doc[order]
                 first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
                 k = np.diff(np.append(first, len(h)))
@@ -301,6 +316,7 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = rows.sparkSession.sparkContext.broadcast(net.flat())  # fixed size
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_pages()
         net = Network.of(shared.value)
         table = net.table()
         for batch in it:

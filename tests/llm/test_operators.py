@@ -3,8 +3,11 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -582,6 +585,28 @@ def test_near_dedup_by_row(spark):
     assert {(r.doc_id, r.text) for r in kept} == {rows[0], rows[1], rows[4]}
 
 
+def test_steps_take_no_fresh_pages():
+    code = """
+import resource, numpy as np
+from rippleframe.llm import lm
+from rippleframe.llm.common import keep_pages
+keep_pages()
+net, rng = lm.Network.start(np.full(lm.CLASSES, 1 / lm.CLASSES)), np.random.default_rng(1)
+own = rng.integers(0, lm.EDGE, 40 * lm.BATCH)
+context = lm._contexts(own, np.zeros(len(own), int))
+assert context[:, 0].flags.c_contiguous
+for i in range(40):
+    if i == 10:
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    at = slice(i * lm.BATCH, (i + 1) * lm.BATCH)
+    net.step(context[at], own[at], 0.5)
+    net.log_probs(context[at][:1024], own[at][:1024])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 3000  # a step that maps its arrays anew takes about a thousand
+
+
 def test_every_place_is_a_target():
     for n in (0, 1, 2, 7, 2 * lm.BATCH * lm.ROUNDS + 3):
         seen = [i for r in range(lm.ROUNDS) for at in lm.targets(n, r) for i in range(n)[at]]
