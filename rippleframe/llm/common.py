@@ -133,7 +133,7 @@ def utf8_buffer(texts: pa.Array) -> tuple[bytes, np.ndarray]:
     texts = texts.cast(pa.large_string()).fill_null("")
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    raw = data.to_pybytes()[offsets[0] : offsets[-1]] if data is not None else b""
+    raw = data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if data is not None else b""
     return raw, offsets - offsets[0]
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS_LOWER, Words, keep_pages, materialize, mix64, slices, word_hashes
+from .common import WS_LOWER, Words, keep_pages, materialize, slices, word_hashes
 
 FREQUENT, HASHED, SIDE, WIDTH, HIDDEN = 191, 64, 2, 12, 24
 #: The last class stands beyond the ends of a text.
@@ -289,7 +289,8 @@ def _rare(rows: DataFrame, words: DataFrame, vocabulary: Vocabulary) -> DataFram
                 h, doc = word_hashes(w), w.doc()
                 at = shared.value.classes(h) >= FREQUENT
                 h, doc = h[at], doc[at]
-                order = np.argsort(h ^ mix64(doc.astype(np.uint64) + np.uint64(1)))  # equal words of a text come together
+                bits = np.uint64(max(1, len(part).bit_length()))
+                order = np.argsort(doc.astype(np.uint64) << (np.uint64(64) - bits) | h >> bits)  # words that meet here may split a count, whose parts add up
                 h, doc = h[order], doc[order]
                 first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
                 k = np.diff(np.append(first, len(h)))
