@@ -113,3 +113,15 @@ def test_four_sets_in_runs(net, monkeypatch):
     parts = [local.four_sets(g, np.array([x]), tri)[2] for x in range(g.n)]
     assert all((np.concatenate([p[c] for p in parts]) == whole[c]).all() for c in whole)
     assert [(s.start, s.stop) for s in local.runs(np.array([1, 1, 9, 1, 1, 1]), 2)] == [(0, 2), (2, 3), (3, 5), (5, 6)]
+
+
+def test_exact_betweenness_over_whole_layers(net, monkeypatch):
+    monkeypatch.setattr(targets, "adjacency", None)  # its lower limit of arcs no longer binds
+    same(targets.exact_betweenness(net), targets.truncated_betweenness(net, None, 12).withColumnRenamed("b_12", "betweenness"))
+
+
+def test_dependencies_on_a_long_path_and_an_isolated_node():
+    n = 400
+    ptr = np.array([0, 1, *range(3, 2 * n - 2, 2), 2 * n - 2, 2 * n - 2])  # a path of n nodes and one node alone
+    nbr = np.array([1, *[y for x in range(1, n - 1) for y in (x - 1, x + 1)], n - 2], np.int32)
+    assert (targets.brandes(ptr, nbr, range(n + 1)) / 2).tolist() == [*[i * (n - 1 - i) for i in range(n)], 0]
