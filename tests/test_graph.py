@@ -1,11 +1,13 @@
 """Graph operators on hand-checkable networks and against plain Python."""
 
+import hashlib
 import random
 from itertools import combinations
 
 import numpy as np
 import pytest
 
+from rippleframe.functions import md5
 from rippleframe.operators import descriptors, dynamics, features, graph, motifs, rankstats, shells, spectral, targets
 from rippleframe.sources import edgelist
 
@@ -268,3 +270,32 @@ def test_loops_that_do_not_end_raise(spark, net):
         dynamics.sir(net, net.nodes.select("node").limit(1), 1.0, 0.0, 1, max_steps=2)
     with pytest.raises(RuntimeError):
         dynamics.threshold_cascades(net_of(spark, [(i, i + 1) for i in range(8)]), 1, 2, max_steps=1)
+
+
+def plain_uniform(*key):
+    return int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:13], 16) / 2**52
+
+
+@pytest.mark.parametrize(("seed", "scale"), [(7, 1.0), (-3, 0.02), (10**16, 1.0)])
+def test_sieve_keeps_every_link(seed, scale):
+    rng = np.random.default_rng(1)
+    ids = np.unique(np.concatenate([np.arange(120), rng.integers(-(10**6), 10**12, 100), [2**62, 2**63 - 1]]))
+    w = np.where(rng.random(len(ids)) < 0.2, 0.0, rng.integers(1, 40, len(ids))).astype(float)
+    total = float(w.sum()) * scale  # at 0.02 most products are above one
+    want = {(a, b) for (a, x), (b, y) in combinations(zip(ids.tolist(), w.tolist(), strict=True), 2) if plain_uniform(a, b, seed) < x * y / total}
+    got = [(a, b) for u, v, _ in md5.sieve(ids, w, ids, w, total, seed) for a, b in zip(u.tolist(), v.tolist(), strict=True)]
+    assert want <= set(got) and len(got) == len(set(got))
+    if scale == 1.0 and seed == 7:
+        assert len(got) == len(want)
+
+
+def test_chung_lu_by_blocks(spark, monkeypatch):
+    """Blocks of nodes meet in tasks of their own, however few partitions the weights have; links are those of the definition."""
+    monkeypatch.setattr(descriptors, "LEAST_BLOCK", 16)
+    w = [(3 * i, 1.0 + i % 7) for i in range(150)]
+    out = descriptors.chung_lu(spark.createDataFrame([*w, (1, None)], "node long, w double").coalesce(1), 7)
+    assert out.rdd.getNumPartitions() == 55
+    total = sum(x for _, x in w)
+    want = [(a, b) for (a, x), (b, y) in combinations(w, 2) if plain_uniform(a, b, 7) < x * y / total]
+    assert sorted((r.u, r.v) for r in out.collect()) == want
+    assert descriptors.chung_lu(spark.createDataFrame([], "node long, w double"), 7).count() == 0
