@@ -46,6 +46,14 @@ def test_no_task_holds_all_rows(spark):
     assert "SinglePartition" not in plan(descriptors.configuration_model(df, 7))
 
 
+def test_numbered_takes_any_number_of_ranges(spark, monkeypatch):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("x"))
+    dealt = type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, n, *cols: dealt(self, max(n, 41), *cols))
+    assert graph.numbered(df, ["x"], "at").filter("x = at").count() == 500
+    assert graph.numbered(df.filter("x < 0"), ["x"], "at").count() == 0
+
+
 def test_evaluate_in_one_pass(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(c, i, float(rng.integers(0, 9)), float(rng.integers(0, 5))) for c in ("a", "b") for i in range(130)], "cell string, node long, y double, pred double")
